@@ -260,5 +260,10 @@ def stage_ngram_join(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     parts = jaccard_components(docs).select("doc_id", "component_id").where("component_id <> doc_id").select("doc_id").distinct()
     parts = materialise(parts, "dropped")
-    out = docs.join(maybe_broadcast(parts, parts.count()), "doc_id", "left_anti")
+    out = docs.join(maybe_broadcast(parts, parts.count()), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    twice = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    n = twice.count()
+    if n:
+        ids = maybe_broadcast(twice, n)
+        out = out.join(ids, "doc_id", "left_anti").unionByName(out.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(*[f"`{c}`" for c in docs.columns])
