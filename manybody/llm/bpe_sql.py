@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 LONG = 96
-#: Pieces of one query; a worker keeps the ids of so many pieces from one group to the next.
+#: Pieces of one query; and pieces that a worker keeps in each of its two generations.
 GROUP = 30_000
-KEEP = 150_000
+KEEP = 350_000
 MEMORY = "250MB"
 
 #: A row is a token that ends at pos, with the token after it. A pair is packed as rank, pos, next_pos, so
@@ -136,9 +136,9 @@ class Codec:
             self._table("first_tokens", word=word, pos=pos, tok=tok, next_pos=pa.array(pos + 1, mask=last), next_tok=pa.array(after, mask=last))
             got = self.db.sql(ENCODE).to_arrow_table()
             ids.update(zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True))
-        for i, b in self.decode([ids[i] for i in range(len(pieces))]).items():
-            x = ids[i]
-            self.known[pieces[i]] = (",".join(map(str, x)), b)
+        lists = [ids[i] for i in range(len(pieces))]
+        for i, b in self.decode(lists).items():
+            self.known[pieces[i]] = (",".join(map(str, lists[i])), b)
 
     def decode(self, lists: list[list[int]]) -> dict[int, bytes]:
         """Bytes of lists of ids, by their number."""
@@ -183,7 +183,7 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
 
 
 #: Rows that are encoded together; more rows share more pieces, and hold more memory.
-TOGETHER_BYTES = 4 << 20
+TOGETHER_BYTES = 8 << 20
 
 
 def _grouped(batches):
