@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import gathered, small_batches, table
 
 LONG = 96
 #: Pieces of one query; and pieces that a worker keeps in each of its two generations.
@@ -186,19 +186,6 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
 TOGETHER_BYTES = 8 << 20
 
 
-def _grouped(batches):
-    """Batches joined until they hold TOGETHER_BYTES."""
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= TOGETHER_BYTES:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held and sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _run(docs: DataFrame, path: str, pattern: str, of_row, schema: str, names: list[str]) -> DataFrame:
     small_batches(docs.sparkSession)
     with open(path, "rb") as f:  # a file of fixed size on the driver; the executors get its bytes
@@ -206,7 +193,7 @@ def _run(docs: DataFrame, path: str, pattern: str, of_row, schema: str, names: l
 
     def run(batches):
         codec = _codec(sent.value, pattern)
-        for b in _grouped(batches):
+        for b in gathered(batches, TOGETHER_BYTES):
             rows = [of_row(x) for x in codec.encode(b.column("text").to_pylist())]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.record_batch([b.column("doc_id"), *map(pa.array, cols)], names=["doc_id", *names])

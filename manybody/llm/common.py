@@ -7,7 +7,6 @@ all executors), never kept in executor memory: a lost executor costs a re-read.
 from __future__ import annotations
 
 import atexit
-import itertools
 import tempfile
 import uuid
 
@@ -99,9 +98,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components: no fixpoint")
 
 
-def chunks(n: int, most: int):
-    """Consecutive ranges of at most ``most`` items."""
-    for i in itertools.count(0, most):
-        if i >= n:
-            return
-        yield i, min(n, i + most)
+def gathered(batches, most: int):
+    """Record batches joined until they hold ``most`` bytes."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

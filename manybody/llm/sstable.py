@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, small_batches, table
+from .common import gathered, materialise, new_path, small_batches, table
 
 MAGIC = b"MBS1"
 FOOTER = struct.Struct("<5QI4s")
@@ -184,30 +184,60 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-#: Distinct words whose ids a worker keeps.
-KEEP = 300_000
+#: Words whose ids a worker keeps, in each of two generations: those in use outlast the rest.
+KEEP = 350_000
+
+
+def _base(word: str) -> tuple[str, str]:
+    """A word as (form whose ids it shares, one final comma or stop): the vocabulary is of lower case and parts the two."""
+    tail = ""
+    if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
+        word, tail = word[:-1], word[-1]
+    return word.lower() if word.isascii() and "<|" not in word else word, tail
 
 
 @lru_cache(1)
 def _word_encoder(data: bytes):
-    """Ids of a text by the tokenizers library, word by word; white space parts words in this vocabulary."""
+    """Ids of texts by the tokenizers library, word by word; white space parts words in this vocabulary."""
     from tokenizers import Tokenizer
 
-    own, known = Tokenizer.from_str(data.decode()), {}
+    own = Tokenizer.from_str(data.decode())
+    kept: list[dict[str, bytes]] = [{}, {}]
+    # a vocabulary that keeps case or joins marks to words gets its words as they are
+    folds = [e.ids for e in own.encode_batch(["Ab", "ab", "ab,", ","], add_special_tokens=False)]
+    folds = folds[0] == folds[1] and folds[2] == folds[1] + folds[3]
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
+        known, older = kept
         cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(known) > KEEP:
-            known.clear()
-        new = list(set().union(*cut) - known.keys()) if cut else []
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        new = {}
+        for w in set().union(*cut):
+            if w not in known:
+                if (x := older.get(w)) is not None:
+                    known[w] = x
+                else:
+                    new[w] = _base(w) if folds else (w, "")
+        bases = {x for x, _ in new.values()} | {x for _, x in new.values()}
+        for w in bases:
+            if (x := older.get(w)) is not None:
+                known[w] = x
+        bases = [w for w in bases if w not in known]
+        for i in range(0, len(bases), 20_000):
+            part = bases[i : i + 20_000]
             known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, own.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4") for x in cut]
+        known.update([(w, known[x] + known[y]) for w, (x, y) in new.items()])
+        out = [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4") for x in cut]
+        if len(known) > KEEP:
+            kept[:] = {}, known
+        return out
 
     return encode
 
 
+#: Bytes of text tokenized together.
+TOGETHER_BYTES = 6 << 20
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """docs(doc_id, text) as doc_id and v: the ids and end_id as little-endian 16-bit (or, after a byte 4, 32-bit) integers.
 
@@ -222,7 +252,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = _word_encoder(sent.value)
-        for b in batches:
+        for b in gathered(batches, TOGETHER_BYTES):
             out = []
             for ids in encode(b.column("text").to_pylist()):
                 ids = np.append(ids, np.uint32(end_id))
