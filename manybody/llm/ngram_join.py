@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .common import components, materialise, maybe_broadcast, small_batches
 
-#: Star rounds stop once the pairs left to compare are within this many times the collided rows.
-PAIRS_PER_ROW = 4
-STAR_ROUNDS = 4
+#: Rows of a bucket that are compared together, and bits of the sketches looked at there.
+BLOCK, SHORT = 2000, 2048
 
 
 def bands(num: int, den: int, upto: int) -> np.ndarray:
@@ -167,6 +166,76 @@ def _exact(num: int, den: int):
     return run
 
 
+def _short(sk: bytes, bits: int) -> np.ndarray:
+    x = np.unpackbits(np.frombuffer(sk, np.uint8))
+    while len(x) > bits:
+        x = x[::2] ^ x[1::2]
+    return np.packbits(x)
+
+
+def _folded(batches):
+    """Sketches of at most SHORT bits."""
+    for b in batches:
+        yield pa.record_batch([b.column("doc_id"), pa.array([_short(s, SHORT).tobytes() for s in b.column("sk").to_pylist()], pa.binary())], names=["doc_id", "f"])
+
+
+def _bucket_pairs(num: int, den: int):
+    """From rows sorted by (key, lo, hi): pairs of different components whose sizes and short sketches allow the threshold."""
+
+    def pairs(rows):
+        ids, n, comp, side = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
+        width = min(len(r[7]) for r in rows) * 8
+        f = np.stack([_short(r[7], width) for r in rows])
+        lo, hi = rows[0][1], rows[0][2]
+        left = np.flatnonzero(side == lo)
+        right = left if lo == hi else np.flatnonzero(side == hi)
+        for i in left:
+            j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (lo != hi))]
+            j = j[(den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))]
+            if len(j):
+                d = np.bitwise_count(f[j] ^ f[i]).sum(axis=1, dtype=np.int64)
+                j = j[(den + num) * d <= (n[j] + n[i]) * (den - num)]
+                if len(j):
+                    yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+    def run(batches):
+        held, out = [], []
+
+        def close():
+            return list(pairs(held)) if len(held) > 1 else []
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi", "doc_id", "n", "comp", "side", "f")), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    out += close()
+                    held = []
+                held.append(row)
+            if len(out) > 2000:
+                yield pa.record_batch([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], names=["a", "b"])
+                out = []
+        out += close()
+        if out:
+            yield pa.record_batch([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _open_pairs(live: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """All candidate pairs of live(key, doc_id, n, comp) that are in different components.
+
+    Buckets are compared in blocks of about BLOCK rows, a task per pair of blocks, and
+    only pairs that the short sketches allow leave a task.
+    """
+    w = Window.partitionBy("key")
+    live = live.withColumn("m", F.count("*").over(w)).withColumn("x", F.min("comp").over(w)).withColumn("y", F.max("comp").over(w)).where("x < y")
+    live = live.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    live = live.select("key", "doc_id", "n", "comp", "side", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    live = live.select("key", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "doc_id", "n", "comp", "side")
+    live = live.join(known.select("doc_id", "sk").mapInArrow(_folded, "doc_id long, f binary"), "doc_id")
+    live = live.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return live.select("key", "lo", "hi", "doc_id", "n", "comp", "side", "f").mapInArrow(_bucket_pairs(num, den), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id.
 
@@ -193,28 +262,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     keys = reps.mapInArrow(_emit(k, num, den, int(most)), "key long, doc_id long, n int")
     collided = keys.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").drop("c")
     collided = materialise(collided, "collided")
-    edges = None
-    labels = None
-    done = None  # sets already at hand
-    rows = collided.count()
-    live, last = collided, rows == 0
-    for turn in range(STAR_ROUNDS + 1):
-        if last or live is None:
-            break
-        if turn:
-            left = live.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("pairs > 0")
-            total = left.agg(F.sum("pairs")).first()[0]
-            if not total:
-                break
-            live = live.join(left.select("key"), "key", "left_semi")
-            last = total <= PAIRS_PER_ROW * rows or turn == STAR_ROUNDS
-        size_ok = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
-        if turn and last:
-            x, y = (live.select("key", F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
-            pairs = x.join(y, "key").where("a < b AND ca <> cb").where(size_ok)
+    edges = labels = done = None  # done: sets already at hand
+    for turn in range(2):
+        if turn == 0:
+            centre = F.min(F.struct(F.xxhash64("doc_id").alias("o"), "doc_id", "n")).over(Window.partitionBy("key"))
+            size_ok = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
+            pairs = collided.withColumn("m", centre).where("doc_id <> m.doc_id").select(F.least("doc_id", "m.doc_id").alias("a"), F.greatest("doc_id", "m.doc_id").alias("b"), F.col("n").alias("na"), F.col("m.n").alias("nb")).where(size_ok)
         else:
-            centre = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("o"), "doc_id", "n")).over(Window.partitionBy("key"))
-            pairs = live.withColumn("m", centre).where("doc_id <> m.doc_id").select(F.least("doc_id", "m.doc_id").alias("a"), F.greatest("doc_id", "m.doc_id").alias("b"), F.col("n").alias("na"), F.col("m.n").alias("nb")).where(size_ok)
+            live = collided if labels is None else collided.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            live = live.withColumn("comp", F.coalesce("comp", "doc_id")) if labels is not None else live.withColumn("comp", F.col("doc_id"))
+            pairs = _open_pairs(live, known, num, den)
         pairs = pairs.select("a", "b").distinct()
         sk = known.select("doc_id", "n", "sk")
         close = pairs.join(sk.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sk").alias("sa")), "a").join(sk.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sk").alias("sb")), "b")
@@ -222,15 +279,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
         ids = ids if done is None else ids.join(done.select("doc_id"), "doc_id", "left_anti")
         ids = materialise(ids, "ids")
-        sets = materialise(text.where("text IS NOT NULL").join(maybe_broadcast(ids, ids.count()), "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, hs binary"), "sets")
-        done = sets if done is None else done.unionByName(sets)
+        n = ids.count()
+        if n:
+            sets = materialise(text.where("text IS NOT NULL").join(maybe_broadcast(ids, n), "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, hs binary"), "sets")
+            done = sets if done is None else done.unionByName(sets)
+        if done is None:
+            break
         found = close.join(done.select(F.col("doc_id").alias("a"), F.col("hs").alias("ha")), "a").join(done.select(F.col("doc_id").alias("b"), F.col("hs").alias("hb")), "b").select("a", "b", "ha", "hb")
         found = materialise(found.mapInArrow(_exact(num, den), "a long, b long"), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        if not last:
-            live = collided.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-            live = materialise(live, "live")
+        if found.limit(1).count():
+            edges = found if edges is None else edges.unionByName(found)
+            labels = components(edges)
     # one doc_id may stand in several rows and thus in several classes
     twice = known.groupBy("doc_id").agg(F.countDistinct("h1", "h2", "n").alias("c")).where("c > 1").select("doc_id")
     links = known.join(twice, "doc_id", "left_semi").join(classes, ["h1", "h2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
