@@ -1 +1 @@
-
+"""There is nothing to stream: points are batches, built once and evaluated often."""
