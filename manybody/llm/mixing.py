@@ -171,7 +171,7 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: plain and low documents at 95 to 5 of the words; documents repeat as their rates ask.
+    """Pipeline stage: plain and low documents at 85 to 15 of the words; documents repeat as their rates ask.
 
     The budget is the least with which no domain shrinks, and each document stays once
     at least: mixing repeats what is scarce and drops nothing.
@@ -179,7 +179,7 @@ def stage_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = domain_of_labels(table(spark, sf_dir, "labels")).where("domain <> 'toxic'")
     model = fit(docs.select("doc_id", "text"), labels)
     members = materialise(model.add(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "p"), "members")
-    _, steps = rates(members, model.domains, {"plain": 0.95, "low": 0.05}, budget=-1)
+    _, steps = rates(members, model.domains, {"plain": 0.85, "low": 0.15}, budget=-1)
     out = model.add(docs.select(*[f"`{c}`" for c in docs.columns])) if model.domains else docs
     if not model.domains:
         return docs

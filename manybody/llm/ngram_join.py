@@ -17,8 +17,9 @@ untouched and thus kept by the other set as well. Candidates pass a short folded
 sketch's Hamming bound, then the exact sets decide.
 
 Equal sets are one node from the start, whatever the number of copies. In a
-bucket all members are first compared with one centre; only pairs whose members
-are still unconnected are then compared with each other, all of them.
+bucket all members are first compared with one centre, then each with the nearest
+(by sketch) that it isn't connected with; at last all pairs that are still
+unconnected are compared.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import components, materialise, maybe_broadcast, small_batches
 
 #: Rows of a bucket that are compared together, and bits of the sketches looked at there.
 BLOCK, SHORT = 2000, 2048
+#: Rounds in which each member proposes its nearest unconnected one, before all pairs that are still open.
+NEAREST_ROUNDS = 2
 
 
 def bands(num: int, den: int, upto: int) -> np.ndarray:
@@ -179,8 +182,11 @@ def _folded(batches):
         yield pa.record_batch([b.column("doc_id"), pa.array([_short(s, SHORT).tobytes() for s in b.column("sk").to_pylist()], pa.binary())], names=["doc_id", "f"])
 
 
-def _bucket_pairs(num: int, den: int):
-    """From rows sorted by (key, lo, hi): pairs of different components whose sizes and short sketches allow the threshold."""
+def _bucket_pairs(num: int, den: int, nearest: bool):
+    """From rows sorted by (key, lo, hi): pairs of different components whose sizes and short sketches allow the threshold.
+
+    nearest: only each row's pair of least sketch distance.
+    """
 
     def pairs(rows):
         ids, n, comp, side = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
@@ -190,12 +196,14 @@ def _bucket_pairs(num: int, den: int):
         left = np.flatnonzero(side == lo)
         right = left if lo == hi else np.flatnonzero(side == hi)
         for i in left:
-            j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (lo != hi))]
+            j = right[(comp[right] != comp[i]) & (nearest | (ids[right] > ids[i]) | (lo != hi))]
             j = j[(den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))]
             if len(j):
                 d = np.bitwise_count(f[j] ^ f[i]).sum(axis=1, dtype=np.int64)
-                j = j[(den + num) * d <= (n[j] + n[i]) * (den - num)]
+                on = (den + num) * d <= (n[j] + n[i]) * (den - num)
+                j, d = j[on], d[on]
                 if len(j):
+                    j = j[[np.lexsort((ids[j], d))[0]]] if nearest else j
                     yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
     def run(batches):
@@ -220,8 +228,8 @@ def _bucket_pairs(num: int, den: int):
     return run
 
 
-def _open_pairs(live: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """All candidate pairs of live(key, doc_id, n, comp) that are in different components.
+def _open_pairs(live: DataFrame, known: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """All candidate pairs of live(key, doc_id, n, comp) that are in different components (or of each row the nearest).
 
     Buckets are compared in blocks of about BLOCK rows, a task per pair of blocks, and
     only pairs that the short sketches allow leave a task.
@@ -233,7 +241,7 @@ def _open_pairs(live: DataFrame, known: DataFrame, num: int, den: int) -> DataFr
     live = live.select("key", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "doc_id", "n", "comp", "side")
     live = live.join(known.select("doc_id", "sk").mapInArrow(_folded, "doc_id long, f binary"), "doc_id")
     live = live.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return live.select("key", "lo", "hi", "doc_id", "n", "comp", "side", "f").mapInArrow(_bucket_pairs(num, den), "a long, b long")
+    return live.select("key", "lo", "hi", "doc_id", "n", "comp", "side", "f").mapInArrow(_bucket_pairs(num, den, nearest), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -263,7 +271,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     collided = keys.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").drop("c")
     collided = materialise(collided, "collided")
     edges = labels = done = None  # done: sets already at hand
-    for turn in range(2):
+    for turn in range(NEAREST_ROUNDS + 2):
         if turn == 0:
             centre = F.min(F.struct(F.xxhash64("doc_id").alias("o"), "doc_id", "n")).over(Window.partitionBy("key"))
             size_ok = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
@@ -271,7 +279,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         else:
             live = collided if labels is None else collided.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             live = live.withColumn("comp", F.coalesce("comp", "doc_id")) if labels is not None else live.withColumn("comp", F.col("doc_id"))
-            pairs = _open_pairs(live, known, num, den)
+            pairs = _open_pairs(live, known, num, den, nearest=turn <= NEAREST_ROUNDS)
         pairs = pairs.select("a", "b").distinct()
         sk = known.select("doc_id", "n", "sk")
         close = pairs.join(sk.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sk").alias("sa")), "a").join(sk.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sk").alias("sb")), "b")
