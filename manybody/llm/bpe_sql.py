@@ -27,8 +27,8 @@ from .common import gathered, small_batches, table
 LONG = 96
 #: Pieces of one query; and pieces that a worker keeps in each of its two generations.
 GROUP = 30_000
-KEEP = 350_000
-MEMORY = "250MB"
+KEEP = 200_000
+MEMORY = "200MB"
 
 #: A row is a token that ends at pos, with the token after it. A pair is packed as rank, pos, next_pos, so
 #: the least of a piece is its leftmost pair of minimum rank; the contracted token takes the later place.
@@ -183,7 +183,7 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
 
 
 #: Rows that are encoded together; more rows share more pieces, and hold more memory.
-TOGETHER_BYTES = 8 << 20
+TOGETHER_BYTES = 6 << 20
 
 
 def _run(docs: DataFrame, path: str, pattern: str, of_row, schema: str, names: list[str]) -> DataFrame:
