@@ -27,8 +27,8 @@ from .common import gathered, small_batches, table
 LONG = 96
 #: Pieces of one query; and pieces that a worker keeps in each of its two generations.
 GROUP = 30_000
-KEEP = 200_000
-MEMORY = "200MB"
+KEEP = 350_000
+MEMORY = "250MB"
 
 #: A row is a token that ends at pos, with the token after it. A pair is packed as rank, pos, next_pos, so
 #: the least of a piece is its leftmost pair of minimum rank; the contracted token takes the later place.
@@ -62,10 +62,11 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, ranks: bytes, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str, keep: int = KEEP, group: int = GROUP):
         import duckdb
         import regex
 
+        self.keep, self.group = keep, group
         self.ranks = read_ranks(ranks)
         self.pattern = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
@@ -125,8 +126,8 @@ class Codec:
                 ids[i] = self._heap(b)
             else:
                 todo.append(i)
-        for lo in range(0, len(todo), GROUP):
-            part = todo[lo : lo + GROUP]
+        for lo in range(0, len(todo), self.group):
+            part = todo[lo : lo + self.group]
             size = np.array([len(raw[i]) for i in part])
             word = np.repeat(np.array(part, np.int64), size)
             pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
@@ -143,8 +144,8 @@ class Codec:
     def decode(self, lists: list[list[int]]) -> dict[int, bytes]:
         """Bytes of lists of ids, by their number."""
         out = {}
-        for lo in range(0, len(lists), 4 * GROUP):
-            part = lists[lo : lo + 4 * GROUP]
+        for lo in range(0, len(lists), 4 * self.group):
+            part = lists[lo : lo + 4 * self.group]
             size = np.array([len(x) for x in part])
             word = np.repeat(np.arange(lo, lo + len(part)), size)
             flat = np.fromiter((t for x in part for t in x), np.int64, int(size.sum()))
@@ -168,32 +169,34 @@ class Codec:
                     new.append(p)
                 else:
                     known[p] = x
-        for lo in range(0, len(new), GROUP):
-            self.learn(new[lo : lo + GROUP])
+        for lo in range(0, len(new), self.group):
+            self.learn(new[lo : lo + self.group])
         get = known.__getitem__
         out = [list(map(get, x)) for x in cut]
-        if len(known) > KEEP:
+        if len(known) > self.keep:
             self.older, self.known = known, {}
         return out
 
 
 @lru_cache(1)
-def _codec(ranks: bytes, pattern: str) -> Codec:
-    return Codec(ranks, pattern)
+def _codec(ranks: bytes, pattern: str, keep: int = KEEP, group: int = GROUP) -> Codec:
+    return Codec(ranks, pattern, keep, group)
 
 
 #: Rows that are encoded together; more rows share more pieces, and hold more memory.
-TOGETHER_BYTES = 6 << 20
+TOGETHER_BYTES = 8 << 20
 
 
-def _run(docs: DataFrame, path: str, pattern: str, of_row, schema: str, names: list[str]) -> DataFrame:
+def _run(docs: DataFrame, path: str, pattern: str, of_row, schema: str, names: list[str], small: bool = False) -> DataFrame:
     small_batches(docs.sparkSession)
     with open(path, "rb") as f:  # a file of fixed size on the driver; the executors get its bytes
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    keep, group, together = (KEEP // 6, GROUP // 3, TOGETHER_BYTES // 4) if small else (KEEP, GROUP, TOGETHER_BYTES)
+
     def run(batches):
-        codec = _codec(sent.value, pattern)
-        for b in gathered(batches, TOGETHER_BYTES):
+        codec = _codec(sent.value, pattern, keep, group)
+        for b in gathered(batches, together):
             rows = [of_row(x) for x in codec.encode(b.column("text").to_pylist())]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.record_batch([b.column("doc_id"), *map(pa.array, cols)], names=["doc_id", *names])
@@ -221,14 +224,17 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", F.col("ids").cast("array<long>").alias("ids")).mapInArrow(run, "doc_id long, bytes binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids (decimal, joined by commas) and of the decoded bytes."""
+def digests(docs: DataFrame, path: str, pattern: str, small: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids (decimal, joined by commas) and of the decoded bytes.
+
+    small: workers keep a sixth of the pieces, for more CPU time and less memory; the results are the same.
+    """
 
     def of_row(pieces):
         ids = ",".join([p[0] for p in pieces])
         return (ids.count(",") + 1 if pieces else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([p[1] for p in pieces])).hexdigest()
 
-    return _run(docs, path, pattern, of_row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"])
+    return _run(docs, path, pattern, of_row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], small)
 
 
 def op9_byte_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -239,7 +245,10 @@ def op9_byte_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 
 
 def stage_bpe(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: every document's tokens and their decoding."""
+    """Pipeline stage, the last: every document's tokens and their decoding.
+
+    Executors still hold what the stages before needed, so the workers' caches are small.
+    """
     import public_tokenizers
 
-    return digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, small=True)
