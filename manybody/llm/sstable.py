@@ -19,18 +19,22 @@ A value begins with its width in bytes (2 or 4), then little-endian ids.
 from __future__ import annotations
 
 import bisect
+import gc
 import hashlib
 import io
+import re
 import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textbytes as tb
 from .common import gathered, materialise, new_path, small_batches, table
 
 MAGIC = b"MBS1"
@@ -184,54 +188,130 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-#: Words whose ids a worker keeps, in each of two generations: those in use outlast the rest.
-KEEP = 350_000
+#: Pieces whose ids a worker keeps, by their hashes.
+KEEP = 1_200_000
 
+#: Kinds of bytes: 0 beyond ASCII, 1 white space, 2 letters, 3 digits, 4 apostrophe (it may belong to the letters after it), 5 other marks.
+_KIND = np.zeros(256, np.uint8)
+_KIND[:128] = 5
+_KIND[tb.SPACE] = 1
+_KIND[65:91] = _KIND[97:123] = 2
+_KIND[48:58], _KIND[39] = 3, 4
+#: Whether a part begins between bytes of two kinds (8 * left + right).
+_CUT = np.zeros(64, bool)
+_CUT[[8 * a + b for a in (2, 3, 4, 5) for b in (2, 3, 4, 5) if 3 in (a, b) or (a == 2 and b != 2) or (a == 5 and b == 2)]] = True
+#: Parts of a probe that a tokenizer must make for its texts to be cut within words.
+PROBE, PARTS = "Ab,ab.(ab)12a3-", ["ab", ",", "ab", ".(", "ab", ")", "1", "2", "a", "3", "-"]
 
-def _base(word: str) -> tuple[str, str]:
-    """A word as (form whose ids it shares, one final comma or stop): the vocabulary is of lower case and parts the two."""
-    tail = ""
-    if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
-        word, tail = word[:-1], word[-1]
-    return word.lower() if word.isascii() and "<|" not in word else word, tail
 
+def cuts(buf: np.ndarray) -> np.ndarray:
+    """Marks the ASCII bytes that begin a part whatever stands around: after a letter a mark, after a mark a letter, digits alone."""
+    out, kind = np.zeros(len(buf), bool), _KIND[buf]
+    out[1:] = _CUT[(kind[:-1] << 3) + kind[1:]]
+    return out
 
-@lru_cache(1)
-def _word_encoder(data: bytes):
-    """Ids of texts by the tokenizers library, word by word; white space parts words in this vocabulary."""
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_str(data.decode())
-    kept: list[dict[str, bytes]] = [{}, {}]
-    # a vocabulary that keeps case or joins marks to words gets its words as they are
-    folds = [e.ids for e in own.encode_batch(["Ab", "ab", "ab,", ","], add_special_tokens=False)]
-    folds = folds[0] == folds[1] and folds[2] == folds[1] + folds[3]
-
-    def encode(texts: list[str | None]) -> list[np.ndarray]:
-        known, older = kept
-        cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {}
-        for w in set().union(*cut):
-            if w not in known:
-                if (x := older.get(w)) is not None:
-                    known[w] = x
-                else:
-                    new[w] = _base(w) if folds else (w, "")
-        bases = {x for x, _ in new.values()} | {x for _, x in new.values()}
-        for w in bases:
-            if (x := older.get(w)) is not None:
-                known[w] = x
-        bases = [w for w in bases if w not in known]
-        for i in range(0, len(bases), 20_000):
-            part = bases[i : i + 20_000]
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, own.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        known.update([(w, known[x] + known[y]) for w, (x, y) in new.items()])
-        out = [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4") for x in cut]
-        if len(known) > KEEP:
-            kept[:] = {}, known
+
+class PieceEncoder:
+    """Ids of whole texts by the tokenizers library, each distinct piece once.
+
+    A piece ends at white space and, where the vocabulary ignores case and parts
+    letters, digits and marks (PROBE), at the places of cuts(). Texts with "<|", in
+    which special tokens may stand, are cut at white space alone. The ids of a
+    piece are found by its 64-bit hash.
+    """
+
+    def __init__(self, data: bytes):
+        from tokenizers import Tokenizer
+
+        self.own = own = Tokenizer.from_str(data.decode())
+        parts = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(PROBE)) if own.normalizer and own.pre_tokenizer else []
+        special = [t.content for t in own.get_added_tokens_decoder().values()]
+        self.inner = [x for x, _ in parts] == PARTS and all(x.startswith("<|") for x in special)
+        self.plain = re.compile("[a-z]+") if self.inner else re.compile("(?!)")
+        self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _library(self, pieces: list[str]) -> list[list[int]]:
+        """Pieces of a-z alone are the model's input as they are; the rest takes the whole way."""
+        model, out, rest = self.own.model, [], []
+        for i, p in enumerate(pieces):
+            if self.plain.fullmatch(p):
+                out.append([t.id for t in model.tokenize(p)])
+            else:
+                out.append([])
+                rest.append(i)
+        for lo in range(0, len(rest), 20_000):
+            part = rest[lo : lo + 20_000]
+            for i, e in zip(part, self.own.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = e.ids
         return out
 
-    return encode
+    def _learn(self, keys: np.ndarray, pieces: list[str], keep: np.ndarray) -> None:
+        """Adds pieces, whose keys ascend; of those known, only the ones marked in keep stay if they are too many."""
+        collects = gc.isenabled()
+        gc.disable()  # so many short lists, none of them in a cycle, would be looked through again and again
+        try:
+            ids = self._library(pieces)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        finally:
+            if collects:
+                gc.enable()
+        if len(self.keys) + len(keys) > KEEP:
+            self.flat = self.flat[_ranges(self.at[keep], self.size[keep])]
+            self.keys, self.size = self.keys[keep], self.size[keep]
+            self.at = np.cumsum(self.size) - self.size
+        into = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, into, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, into, size)
+        self.keys = np.insert(self.keys, into, keys)
+        self.flat = np.concatenate([self.flat, flat])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin (and the last ends)."""
+        raw, where = tb.utf8(column)
+        buf, cut = raw, None
+        if self.inner:
+            buf, cut = tb.LOWER[raw], cuts(raw)
+            for i in np.unique(np.searchsorted(where, np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124)), "right") - 1):
+                buf[where[i] : where[i + 1]] = raw[where[i] : where[i + 1]]
+                cut[where[i] : where[i + 1]] = False
+            cut[where[:-1][where[:-1] < len(cut)]] = False  # these begin a piece unless they are white space
+        hashes, begins, _ = tb.word_hashes(buf, where, tb.SPACE, cut=cut)
+        word = ~tb.SPACE[buf]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        texts = where[:-1][where[:-1] < len(buf)]
+        first[texts] |= word[texts]
+        if cut is not None:
+            first |= cut
+        starts = np.flatnonzero(first)
+        assert len(starts) == len(hashes)
+        keys, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        if not known.all():
+            used = np.zeros(len(self.keys), bool)
+            used[place[known]] = True
+            ends = np.append(starts[1:], len(buf))[one[~known]]
+            data = buf.tobytes()
+            pieces = [data[a:b].rstrip(b" \t\n\v\f\r").decode() for a, b in zip(starts[one[~known]].tolist(), ends.tolist(), strict=True)]
+            self._learn(keys[~known], pieces, used)
+            place = np.searchsorted(self.keys, keys)
+        size = self.size[place][which]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[_ranges(self.at[place][which], size)], total[begins]
+
+
+def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places at[i], ..., at[i] + size[i] - 1 of all i in turn."""
+    return np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+@lru_cache(1)
+def _piece_encoder(data: bytes) -> PieceEncoder:
+    return PieceEncoder(data)
 
 
 #: Bytes of text tokenized together.
@@ -251,11 +331,12 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = _word_encoder(sent.value)
+        own = _piece_encoder(sent.value)
         for b in gathered(batches, TOGETHER_BYTES):
             out = []
-            for ids in encode(b.column("text").to_pylist()):
-                ids = np.append(ids, np.uint32(end_id))
+            flat, at = own.encode(b.column("text"))
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids = np.append(flat[lo:hi], np.uint32(end_id))
                 out.append(bytes([2]) + ids.astype("<u2").tobytes() if ids.max() < 65536 else bytes([4]) + ids.tobytes())
             yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "v"])
 

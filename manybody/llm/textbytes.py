@@ -58,10 +58,11 @@ def spans(buf: np.ndarray, at: np.ndarray, sep: np.ndarray):
         lo = hi
 
 
-def word_hashes(buf: np.ndarray, at: np.ndarray, sep: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def word_hashes(buf: np.ndarray, at: np.ndarray, sep: np.ndarray, prefixes: tuple[int, ...] = (), cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """64-bit hashes of all words; where each text's words begin; hashes of the words' first bytes.
 
     buf is lower-cased already. A prefix's hash is 0 for words not longer than it.
+    cut marks bytes at which a word begins besides those after separators.
     """
     out, begun, pre = [], [], [[] for _ in prefixes]
     for lo, hi in spans(buf, at, sep):
@@ -71,6 +72,8 @@ def word_hashes(buf: np.ndarray, at: np.ndarray, sep: np.ndarray, prefixes: tupl
         first[1:] &= ~word[:-1]
         inner = at[np.searchsorted(at, lo) : np.searchsorted(at, hi)] - lo
         first[inner] |= word[inner]
+        if cut is not None:
+            first |= cut[lo:hi]
         starts = np.flatnonzero(first)
         if not len(starts):
             continue

@@ -1,7 +1,9 @@
 import io
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 import public_tokenizers
 from manybody.llm import sstable as st
@@ -42,3 +44,18 @@ def test_query(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert st.op2_token_shards(spark, str(tmp_path)).count() == 0
+
+
+def test_pieces_equal_the_library_on_hard_texts():
+    """Cuts within words change nothing: apostrophes, digits, marks that compose, special tokens, control characters."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        own = st.PieceEncoder(f.read())
+    assert own.inner
+    rng = random.Random(3)
+    letters = "abAB''--..,,01 \t\n\x0b\x0c<|endoftxEN|>()é̸́=İK中ς\u0085\x00\x1c"
+    words = ["<|endoftext|>", "don't", "it'S", "rock'n'roll", "x''s", "5's", "<|ENDOFTEXT|>"]
+    docs = ["".join(rng.choice(words) if rng.random() < 0.1 else rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    for part in ([], [None, ""], docs, docs[::-1]):
+        flat, at = own.encode(pa.array(part, pa.string()))
+        want = [own.own.encode(d or "", add_special_tokens=False).ids for d in part]
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
