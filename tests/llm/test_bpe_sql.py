@@ -23,3 +23,9 @@ def test_against_tiktoken_and_round_trip(spark):
     decoded = sorted(bytes(r.bytes) for r in b.decode(ids, PATH).collect())
     assert decoded == sorted([(t or "").encode() for t in texts] + [b"x", b"again"])
     assert b.encode(docs.where("false"), PATH, P.PATTERN).count() == 0
+
+
+def test_repeats_are_encoded_once(spark):
+    """With small caches equal texts of a batch go through the codec once, and the results are the same."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one two", "one two", None, "", None, "three", "one two"])], "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, b.digests(docs, PATH, P.PATTERN, small=True).collect())) == sorted(map(tuple, b.digests(docs, PATH, P.PATTERN).collect()))

@@ -48,3 +48,13 @@ def test_nulls_empty_and_repeats(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert m.op6_mixing(spark, str(tmp_path)).agg(F.sum("n_tokens")).first()[0] == 6003
     assert m.op6_mixing(spark, str(tmp_path)).count() == 5
+
+
+def test_stage_reaches_its_target(spark, tmp_path):
+    """Of as many plain as low words, plain documents repeat until they are 95 in 100 and low ones stay once."""
+    rows = [(i, " ".join(f"{'abcdefgh'[(i * 7 + j) % 8]}{i % 2}" for j in range(40))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    n = {r.low: r["count"] for r in m.stage_mixing(spark, docs, str(tmp_path)).groupBy((F.col("doc_id") % 2 == 0).alias("low")).count().collect()}
+    assert n[True] == 100 and abs(n[False] / (n[True] + n[False]) - 0.95) < 0.01
