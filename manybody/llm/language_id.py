@@ -3,6 +3,11 @@
 Features are hashed character 1- to 3-grams of the lower-cased text (all that is
 no letter counts as a space), as frequencies. A classifier is a column of
 weights, so a text's scores are sums of table entries over its whole length.
+
+Classifiers only tell the learned languages apart. Whether a text resembles any of
+them is its likeness: the mean over its n-grams of the log of their frequency in
+the language in which they are most frequent. A quarter of the learning sample is
+left out of these frequencies and sets the bound.
 """
 
 from __future__ import annotations
@@ -106,13 +111,20 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 100.0, rounds: int = 150) -> tu
 
 
 class LanguageModel:
-    """weights: a row per feature and a column per classifier (families one-versus-rest, then pairs)."""
+    """weights: a row per feature and a column per classifier (families one-versus-rest, then pairs).
+
+    like: a feature's log frequency (None if too few texts were seen); a text's mean of it is at least ``least``,
+    less SHORT_MAY / sqrt(n) for n n-grams, or the text resembles no language.
+    """
 
-    def __init__(self, families: list[str], members: dict[str, list[str]], pairs: list[tuple[str, str]], weights: np.ndarray, bias: np.ndarray):
-        self.families, self.members, self.pairs, self.weights, self.bias = families, members, pairs, weights, bias
+    def __init__(self, families: list[str], members: dict[str, list[str]], pairs: list[tuple[str, str]], weights: np.ndarray, bias: np.ndarray, like: np.ndarray | None = None, least: float = 0.0):
+        self.families, self.members, self.pairs, self.weights, self.bias, self.like, self.least = families, members, pairs, weights, bias, like, least
 
-    def margins(self, texts: list[str | None]) -> np.ndarray:
+    def margins(self, texts: list[str | None], known_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The classifiers' margins, and whether each text resembles a language (without known_only it is not looked at)."""
         total, grams = np.zeros((len(texts), self.weights.shape[1])), np.zeros(len(texts))
+        alike, known_only = np.zeros(len(texts)), known_only and self.like is not None
+        like = np.append(self.like, 0.0) if known_only else None
         for held in _pieces(texts):
             at, features = _grams([p for _, p in held])
             doc = [i for i, _ in held]
@@ -120,7 +132,10 @@ class LanguageModel:
                 np.add.at(grams, doc, np.add.reduceat((f >= 0).astype(np.int64), at[:-1]))
                 for c in range(total.shape[1]):
                     np.add.at(total[:, c], doc, np.add.reduceat(self.padded[c][f], at[:-1]))
-        return total / np.maximum(1, grams)[:, None] + self.bias
+                if known_only:
+                    np.add.at(alike, doc, np.add.reduceat(like[f], at[:-1]))
+        n = np.maximum(1, grams)
+        return total / n[:, None] + self.bias, alike / n >= self.least - SHORT_MAY / np.sqrt(n) if known_only else np.ones(len(texts), bool)
 
     @property
     def padded(self) -> list[np.ndarray]:
@@ -128,11 +143,11 @@ class LanguageModel:
             self._padded = [np.append(self.weights[:, c], 0.0) for c in range(self.weights.shape[1])]
         return self._padded
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        m = self.margins(texts)
+    def predict(self, texts: list[str | None], known_only: bool = False) -> tuple[list[str], list[float]]:
+        m, known = self.margins(texts, known_only)
         langs, scores = [], []
-        for t, row in zip(texts, m, strict=True):
-            if not self.families or not has_letter(t):
+        for t, row, near in zip(texts, m, known, strict=True):
+            if not self.families or not near or not has_letter(t):
                 langs.append("und")
                 scores.append(0.0)
                 continue
@@ -153,6 +168,25 @@ class LanguageModel:
         return langs, scores
 
 
+#: The bound of likeness lies so many times as far below the held-out texts' median as their 1 % quantile does, which
+#: counts as LEAST_SPREAD at least; fewer held-out texts than LEAST_HELD set no bound, and short texts may vary more.
+SPREADS, LEAST_SPREAD, LEAST_HELD, SHORT_MAY = 4, 0.25, 8, 8.0
+
+
+def likeness(x: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray | None, float]:
+    """Log frequencies (relative to even ones) of features in rows x of texts' frequencies, and the bound of their mean."""
+    once = np.array(sorted({(k, r.tobytes()): i for i, (k, r) in enumerate(zip(lang.tolist(), x, strict=True))}.values()))
+    held = np.concatenate([once[lang[once] == k][3::4] for k in np.unique(lang)])
+    if len(held) < LEAST_HELD:
+        return None, 0.0
+    used = np.setdiff1d(once, held)
+    best = np.max([x[used[lang[used] == k]].mean(axis=0, dtype=np.float64) for k in np.unique(lang[used])], axis=0)
+    like = np.log(np.maximum(best * len(best), 1e-3))
+    at = x[held] @ like
+    middle, low = np.quantile(at, [0.5, 0.01])
+    return like, float(middle - SPREADS * max(middle - low, LEAST_SPREAD))
+
+
 def fit(rows: DataFrame, per_language: int = 600) -> LanguageModel:
     """Learns from rows(text, lang): a sample of about per_language whole texts of each language.
 
@@ -172,6 +206,7 @@ def fit(rows: DataFrame, per_language: int = 600) -> LanguageModel:
         x[r, np.asarray(i.values)] = np.asarray(v.values)
     order = np.lexsort((x @ np.arange(x.shape[1], dtype=np.float32), lang))
     x, lang = x[order], lang[order]
+    like, least = likeness(x, lang)
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
     x *= scale
     langs = sorted(set(lang))
@@ -184,11 +219,14 @@ def fit(rows: DataFrame, per_language: int = 600) -> LanguageModel:
         at = np.flatnonzero((lang == a) | (lang == b))
         fits.append(svm(x[at], np.where(lang[at] == a, 1, -1).astype(np.float32)))
     weights = np.stack([w * scale for w, _ in fits], axis=1).astype(np.float64) if fits else np.zeros((1 << BITS, 0))
-    return LanguageModel(families, members, pairs, weights, np.array([b for _, b in fits]))
+    return LanguageModel(families, members, pairs, weights, np.array([b for _, b in fits]), like, least)
+
 
+def identify(docs: DataFrame, model: LanguageModel, known_only: bool = False) -> DataFrame:
+    """docs with lang_pred and score added; und and 0 where the text is null or has no letter.
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred and score added; und and 0 where the text is null or has no letter."""
+    known_only: also where it resembles none of the learned languages.
+    """
     small_batches(docs.sparkSession)
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -198,7 +236,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            lang, score = model.predict(b.column("text").to_pylist())
+            lang, score = model.predict(b.column("text").to_pylist(), known_only)
             yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
@@ -217,12 +255,8 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-#: In the pipeline, texts go that have no letters or resemble none of the languages.
-MIN_SCORE = 0.05
-
-
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops documents without letters or with a score below MIN_SCORE; the columns stay."""
+    """Pipeline stage: drops documents without letters or that resemble none of the learned languages; the columns stay."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
-    kept = identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    kept = identify(docs, model, known_only=True).where(F.col("lang_pred") != "und")
     return kept.select(*[f"`{c}`" for c in docs.columns])

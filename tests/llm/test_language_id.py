@@ -1,3 +1,5 @@
+import random
+
 from manybody.llm import language_id as li
 from pyspark.sql import functions as F
 
@@ -30,3 +32,14 @@ def test_pieces_sum_up(monkeypatch):
     assert len(whole[0]) == 2
     monkeypatch.setattr(li, "PIECE", 100)
     assert sum(len(p) for held in li._pieces(texts) for _, p in held) == 401
+
+
+def test_stage_drops_foreign_texts(spark):
+    """Of texts in no learned language all go, and no other document does."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(4)
+    noise = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n))
+    foreign = ["我们今天去北京看长城，天气很好。", "Привет", "Мы сегодня поехали в город и увидели много интересных вещей.", "今日は町に行って面白いものを見ました。", "Σήμερα πήγαμε στην πόλη", noise(20), noise(300), noise(20_000)]
+    rows = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(foreign)], "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in li.stage_language(spark, docs.unionByName(rows), SF).select("doc_id").collect()}
+    assert kept == {x.doc_id for x in docs.collect()}
