@@ -216,8 +216,10 @@ class PieceEncoder:
 
     A piece ends at white space and, where the vocabulary ignores case and parts
     letters, digits and marks (PROBE), at the places of cuts(). Texts with "<|", in
-    which special tokens may stand, are cut at white space alone. The ids of a
-    piece are found by its 64-bit hash.
+    which special tokens may stand, are cut at white space alone. Pieces of ASCII
+    alone are lower-cased here; the others keep their case, as a capital may compose
+    with a mark otherwise than its small letter does. The ids of a piece are found
+    by its 64-bit hash.
     """
 
     def __init__(self, data: bytes):
@@ -276,15 +278,19 @@ class PieceEncoder:
                 buf[where[i] : where[i + 1]] = raw[where[i] : where[i + 1]]
                 cut[where[i] : where[i + 1]] = False
             cut[where[:-1][where[:-1] < len(cut)]] = False  # these begin a piece unless they are white space
-        hashes, begins, _ = tb.word_hashes(buf, where, tb.SPACE, cut=cut)
-        word = ~tb.SPACE[buf]
+        word = ~tb.SPACE[raw]
         first = word.copy()
         first[1:] &= ~word[:-1]
-        texts = where[:-1][where[:-1] < len(buf)]
+        texts = where[:-1][where[:-1] < len(raw)]
         first[texts] |= word[texts]
         if cut is not None:
             first |= cut
         starts = np.flatnonzero(first)
+        if self.inner:
+            own = np.unique(np.searchsorted(starts, np.flatnonzero(raw > 127), "right") - 1)
+            own = _ranges(starts[own], np.append(starts[1:], len(raw))[own] - starts[own])
+            buf[own] = raw[own]
+        hashes, begins, _ = tb.word_hashes(buf, where, tb.SPACE, cut=cut)
         assert len(starts) == len(hashes)
         keys, one, which = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, keys)

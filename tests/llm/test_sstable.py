@@ -59,3 +59,15 @@ def test_pieces_equal_the_library_on_hard_texts():
         flat, at = own.encode(pa.array(part, pa.string()))
         want = [own.own.encode(d or "", add_special_tokens=False).ids for d in part]
         assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
+def test_capitals_that_compose_only_when_small():
+    """Capitals without a precomposed form, followed by a mark that their small letter composes with."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        own = st.PieceEncoder(f.read())
+    pairs = ["H\u0331", "J\u030c", "T\u0308", "W\u030a", "Y\u030a"]
+    rng = random.Random(5)
+    docs = ["H\u0331anan", "J\u030cami", *pairs] + ["".join(rng.choice([*pairs, *"aHJTWY ,1'-", "é", "\u0331"]) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    flat, at = own.encode(pa.array(docs, pa.string()))
+    want = [own.own.encode(d, add_special_tokens=False).ids for d in docs]
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
