@@ -20,6 +20,9 @@ Equal sets are one node from the start, whatever the number of copies. In a
 bucket all members are first compared with one centre, then each with the nearest
 (by sketch) that it isn't connected with; at last all pairs that are still
 unconnected are compared.
+
+This finds a spanning set of links. All links lie within components, so their number
+is counted there, by comparing all sets of each component with each other exactly.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .common import components, materialise, maybe_broadcast, small_batches
 BLOCK, SHORT = 2000, 2048
 #: Rounds in which each member proposes its nearest unconnected one, before all pairs that are still open.
 NEAREST_ROUNDS = 2
+#: A component's sets are counted in blocks of BLOCK sets and so many shingles at most; one of SPREAD sets and more goes to several tasks.
+BLOCK_SHINGLES, SPREAD = 4_000_000, 256
 
 
 def bands(num: int, den: int, upto: int) -> np.ndarray:
@@ -93,14 +98,19 @@ def segment_keys(h: np.ndarray, num: int, den: int, low: np.ndarray) -> np.ndarr
     return np.concatenate(out)
 
 
+def _sums(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Two sums of each set's hashes, which tell classes of equal sets apart."""
+    return [int(np.add.reduce(h, dtype=np.uint64).astype(np.int64)) for h in sets], [int(np.add.reduce(tb.mix(h + np.uint64(9)), dtype=np.uint64).astype(np.int64)) for h in sets]
+
+
 def _profile(k: int):
     def run(batches):
         for b in batches:
             n, h1, h2, sk = [], [], [], []
             for h in _sets(b, k):
                 n.append(len(h))
-                h1.append(int(np.add.reduce(h, dtype=np.uint64).astype(np.int64)))
-                h2.append(int(np.add.reduce(tb.mix(h + np.uint64(9)), dtype=np.uint64).astype(np.int64)))
+                for into, x in zip((h1, h2), _sums([h]), strict=True):
+                    into.append(x[0])
                 sk.append(sketch(h))
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "n", "h1", "h2", "sk"])
 
@@ -244,6 +254,70 @@ def _open_pairs(live: DataFrame, known: DataFrame, num: int, den: int, nearest:
     return live.select("key", "lo", "hi", "doc_id", "n", "comp", "side", "f").mapInArrow(_bucket_pairs(num, den, nearest), "a long, b long")
 
 
+def _class_sets(batches):
+    """Sets with what their classes are told by."""
+    for b in batches:
+        hs = [np.frombuffer(x, np.uint64) for x in b.column("hs").to_pylist()]
+        h1, h2 = _sums(hs)
+        yield pa.record_batch([b.column("doc_id"), pa.array([len(h) for h in hs], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), b.column("hs")], names=["doc_id", "n", "h1", "h2", "hs"])
+
+
+def _link_counts(num: int, den: int):
+    """From rows sorted by (comp, lo, hi): how many copies of other sets each set links with, exactly."""
+
+    def counts(rows):
+        rows = sorted(rows, key=lambda r: r[6])
+        lo, hi = rows[0][1:3]
+        side, n, copies = (np.array([r[i] for r in rows], np.int64) for i in (3, 6, 7))
+        at = np.concatenate([[0], np.cumsum(n)])
+        code = np.unique(np.concatenate([np.frombuffer(r[8], np.uint64) for r in rows]), return_inverse=True)[1].astype(np.int32)
+        left = np.flatnonzero(side == lo)
+        right = left if lo == hi else np.flatnonzero(side == hi)
+        there = np.concatenate([code[at[j] : at[j + 1]] for j in right]) if len(right) else code[:0]
+        begin = np.concatenate([[0], np.cumsum(n[right])])
+        mark, out = np.zeros(int(code.max()) + 1, bool), np.zeros(len(rows), np.int64)
+        for i in left:
+            a, z = np.searchsorted(n[right], -(-num * n[i] // den), "left"), np.searchsorted(n[right], den * n[i] // num, "right")
+            if a >= z:
+                continue
+            own = code[at[i] : at[i + 1]]
+            mark[own] = True
+            both = np.add.reduceat(mark[there[begin[a] : begin[z]]], begin[a:z] - begin[a], dtype=np.int64)
+            mark[own] = False
+            j = right[a:z]
+            j = j[(den * both >= num * (n[i] + n[j] - both)) & (j != i)]
+            out[i] += copies[j].sum()
+            if lo != hi:
+                out[j] += copies[i]
+        found = np.flatnonzero(out)
+        return pa.record_batch([pa.array([rows[i][c] for i in found], pa.int64()) for c in (4, 5, 6)] + [pa.array(out[found])], names=["h1", "h2", "n", "links"])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("comp", "lo", "hi", "side", "h1", "h2", "n", "copies", "hs")), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    yield counts(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield counts(held)
+
+    return run
+
+
+def _count_links(sets: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """h1, h2, n, links of the classes(h1, h2, n, rep, copies, comp) that link with others; sets(doc_id, hs) holds their representatives."""
+    sizes = classes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
+    nb = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES), F.least(F.lit(8), F.ceil(F.col("m") / SPREAD)))
+    classes = classes.join(sizes.select("comp", nb.cast("int").alias("nb")), "comp")
+    rows = sets.mapInArrow(_class_sets, "doc_id long, n long, h1 long, h2 long, hs binary").join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n", "doc_id"]).dropDuplicates(["h1", "h2", "n"])
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("h1", "h2"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("comp", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "side", "h1", "h2", "n", "copies", "hs")
+    rows = rows.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+    return rows.mapInArrow(_link_counts(num, den), "h1 long, h2 long, n long, links long").groupBy("h1", "h2", "n").agg(F.sum("links").alias("links"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id.
 
@@ -255,6 +329,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     nothing. A null doc_id keeps a null component_id. Rows that repeat a doc_id
     are one document: their components are merged under the smallest id.
     """
+    return _join(docs, k, num, den, count=False)
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """As jaccard_components, with n_links after n_shingles: with how many other rows that have a doc_id a row links.
+
+    A row without doc_id or without shingles has none.
+    """
+    return _join(docs, k, num, den, count=True)
+
+
+def _join(docs: DataFrame, k: int, num: int, den: int, count: bool) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -307,16 +393,30 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         labels = components(edges)
     if labels is None:
         labels = spark.createDataFrame([], "node long, comp long")
-    to = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 OR comp IS NOT NULL").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))
-    out = prof.select("doc_id", "n", "h1", "h2").join(to, ["h1", "h2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("comp", "doc_id")).alias("component_id"))
+    to = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 OR comp IS NOT NULL").select("h1", "h2", "n", "rep", "copies", F.coalesce("comp", "rep").alias("comp"))
+    if count:
+        to = materialise(to, "members")
+        more = to.join(known.join(twice, "doc_id", "left_semi").select("h1", "h2", "n"), ["h1", "h2", "n"], "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        more = materialise(more if done is None else more.join(done.select("doc_id"), "doc_id", "left_anti"), "more")
+        if n := more.count():
+            sets = materialise(text.where("text IS NOT NULL").join(maybe_broadcast(more, n), "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, hs binary"), "sets")
+            done = sets if done is None else done.unionByName(sets)
+        links = F.col("copies") - 1
+        if done is not None:
+            to = to.join(materialise(_count_links(done, to, num, den), "counts"), ["h1", "h2", "n"], "left")
+            links = links + F.coalesce("links", F.lit(0))
+        to = to.withColumn("links", links)
+    out = prof.select("doc_id", "n", "h1", "h2").join(to.drop("rep", "copies"), ["h1", "h2", "n"], "left")
+    null = F.col("doc_id").isNull()
+    n_links = [F.when(null | (F.col("n") == 0), 0).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links")] if count else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), *n_links, F.when(null, F.lit(None).cast("long")).otherwise(F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    """The registered query: 3-word shingles, 90 of 100, over all documents."""
+    """The registered query: 3-word shingles, 90 of 100, over all documents, with the number of links."""
     from .common import table
 
-    return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return jaccard_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 def stage_ngram_join(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

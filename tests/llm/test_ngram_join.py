@@ -1,6 +1,7 @@
 import random
 import re
 
+from manybody.llm import ngram_join as nj
 from manybody.llm.ngram_join import jaccard_components
 
 
@@ -55,3 +56,35 @@ def test_empty_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "a b c", 1, "k", "h", 0), (1, "a b c", 1, "k", "h", 0), (1, "d e f", None, None, None, None), (2, "d e f", 1, "k", "h", 0), (None, "a b c", 1, "k", "h", 0)]
     got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (None, 1, None)]
+
+
+def links_by_brute_force(rows, k, num, den):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        k_ = min(k, len(w))
+        sets.append({tuple(w[j : j + k_]) for j in range(len(w) - k_ + 1)} if w else set())
+    on = [i is not None and bool(s) for (i, _), s in zip(rows, sets)]
+    return [sum(on[x] and on[y] and x != y and den * len(a & b) >= num * len(a | b) for y, b in enumerate(sets)) for x, a in enumerate(sets)]
+
+
+def test_all_links_are_counted(spark, monkeypatch):
+    """In groups of near copies, with exact copies, a repeated doc_id and components of several blocks."""
+    rows = corpus(5, 150)
+    r = random.Random(8)
+    base = [f"v{i}" for i in range(300)]
+    for i in range(60):
+        w = list(base)
+        for _ in range(i % 4):
+            w[r.randrange(300)] = f"u{r.randrange(5)}"
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(None, " ".join(base)), (2000, " ".join(base)), (2000, " ".join(base))]
+    for spread in (256, 9):
+        monkeypatch.setattr(nj, "SPREAD", spread)
+        got = nj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+        assert sorted(((str(x.doc_id), x.n_links) for x in got)) == sorted((str(i), c) for (i, _), c in zip(rows, links_by_brute_force(rows, 3, 90, 100)))
+
+
+def test_the_query_counts_links(spark, tmp_path):
+    spark.createDataFrame([(i, "a b c d") for i in range(3)] + [(9, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, nj.op10_ngram_jaccard_join(spark, str(tmp_path)).collect())) == [(0, 2, 2, 0), (1, 2, 2, 0), (2, 2, 2, 0), (9, 0, 0, 9)]
