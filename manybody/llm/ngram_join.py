@@ -378,7 +378,7 @@ def _join(docs: DataFrame, k: int, num: int, den: int, count: bool) -> DataFrame
             sets = materialise(text.where("text IS NOT NULL").join(maybe_broadcast(ids, n), "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, hs binary"), "sets")
             done = sets if done is None else done.unionByName(sets)
         if done is None:
-            break
+            continue
         found = close.join(done.select(F.col("doc_id").alias("a"), F.col("hs").alias("ha")), "a").join(done.select(F.col("doc_id").alias("b"), F.col("hs").alias("hb")), "b").select("a", "b", "ha", "hb")
         found = materialise(found.mapInArrow(_exact(num, den), "a long, b long"), "links")
         if found.limit(1).count():

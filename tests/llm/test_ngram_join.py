@@ -88,3 +88,12 @@ def test_all_links_are_counted(spark, monkeypatch):
 def test_the_query_counts_links(spark, tmp_path):
     spark.createDataFrame([(i, "a b c d") for i in range(3)] + [(9, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, nj.op10_ngram_jaccard_join(spark, str(tmp_path)).collect())) == [(0, 2, 2, 0), (1, 2, 2, 0), (2, 2, 2, 0), (9, 0, 0, 9)]
+
+
+def test_links_whose_buckets_have_an_unlike_centre(spark):
+    """The first two texts share only segments that the third, the centre of their buckets, has too."""
+    texts = ["w2331 w258 w1044 w482 w2029 w1841 w1934 w2668 w1554", "w2331 w859 w1044 w482 w2029 w1841 w1934 w2668 w1554", "w2331 w482 w1554 w1596 w1772 w8 w937 w2421 w1300"]
+    ids = [r.id for r in spark.range(3).selectExpr("id", "xxhash64(id) AS x").orderBy("x").collect()]
+    rows = list(zip([*ids[1:], ids[0]], texts))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80, 100).collect()
+    assert {tuple(x) for x in got} == brute(rows, 1, 80, 100) and len({x.component_id for x in got}) == 2
