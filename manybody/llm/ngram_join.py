@@ -350,7 +350,9 @@ def _join(docs: DataFrame, k: int, num: int, den: int, count: bool) -> DataFrame
     classes = materialise(classes, "classes")
     many = materialise(classes.where("copies > 1"), "many")
     member = known.select("doc_id", "h1", "h2", "n").join(many.drop("copies"), ["h1", "h2", "n"])
-    copies = materialise(member.where("doc_id <> rep").select("doc_id").distinct(), "copies")
+    # a doc_id that stands in several rows may be in several classes: all its texts count, whichever class it represents
+    twice = materialise(known.groupBy("doc_id").agg(F.countDistinct("h1", "h2", "n").alias("c")).where("c > 1").select("doc_id"), "twice")
+    copies = materialise(member.where("doc_id <> rep").select("doc_id").distinct().join(twice, "doc_id", "left_anti"), "copies")
     most = prof.agg(F.max("n")).first()[0] or 1
     reps = text.where("text IS NOT NULL AND doc_id IS NOT NULL").join(maybe_broadcast(copies, copies.count()), "doc_id", "left_anti")
     keys = reps.mapInArrow(_emit(k, num, den, int(most)), "key long, doc_id long, n int")
@@ -384,8 +386,6 @@ def _join(docs: DataFrame, k: int, num: int, den: int, count: bool) -> DataFrame
         if found.limit(1).count():
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges)
-    # one doc_id may stand in several rows and thus in several classes
-    twice = known.groupBy("doc_id").agg(F.countDistinct("h1", "h2", "n").alias("c")).where("c > 1").select("doc_id")
     links = known.join(twice, "doc_id", "left_semi").join(classes, ["h1", "h2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = materialise(links.distinct(), "repeats")
     if links.limit(1).count():

@@ -97,3 +97,13 @@ def test_links_whose_buckets_have_an_unlike_centre(spark):
     rows = list(zip([*ids[1:], ids[0]], texts))
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80, 100).collect()
     assert {tuple(x) for x in got} == brute(rows, 1, 80, 100) and len({x.component_id for x in got}) == 2
+
+
+def test_repeats_of_which_one_is_a_copy(spark):
+    """A doc_id with two texts, one of them a copy of another document: the other text's links stay."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (9, b + " c"), (7, a + " c"), (7, "d e f"), (8, "d e f")]
+    got = nj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert {x.component_id for x in got} == {3}
+    want = sorted((str(i), c) for (i, _), c in zip(rows, links_by_brute_force(rows, 3, 90, 100)))
+    assert sorted((str(x.doc_id), x.n_links) for x in got) == want
