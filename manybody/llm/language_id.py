@@ -188,18 +188,18 @@ def likeness(x: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray | None, float]
 
 
 def fit(rows: DataFrame, per_language: int = 600) -> LanguageModel:
-    """Learns from rows(text, lang): a sample of about per_language whole texts of each language.
+    """Learns from rows(text, lang): a sample of about per_language whole, different texts of each language.
 
-    The sample bound is the only one; rows without language or letters teach nothing.
+    Equal texts of a language are chosen, and count, once. The sample bound is the only one; rows without language or letters teach nothing.
     """
     small_batches(rows.sparkSession)
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.select("lang", F.xxhash64("text", "lang").alias("h")).distinct().groupBy("lang").count().collect()}
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_language / n))]) if counts else None
     if not counts:
         return LanguageModel([], {}, [], np.zeros((1 << BITS, 0)), np.zeros(0))
-    chosen = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * float(1 << 20)).select("text", "lang")
-    got = chosen.mapInArrow(_frequencies, "lang string, i array<int>, v array<float>").limit(2 * per_language * len(counts)).toArrow()
+    chosen = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * float(1 << 20)).select("text", "lang").distinct()
+    got = chosen.mapInArrow(_frequencies, "lang string, i array<int>, v array<float>").toArrow()
     lang = np.array(got.column("lang").to_pylist())
     x = np.zeros((len(lang), 1 << BITS), np.float32)
     for r, (i, v) in enumerate(zip(got.column("i"), got.column("v"), strict=True)):

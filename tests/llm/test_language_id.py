@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from manybody.llm import language_id as li
 from pyspark.sql import functions as F
 
@@ -43,3 +44,14 @@ def test_stage_drops_foreign_texts(spark):
     rows = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(foreign)], "doc_id long, text string, lang string")
     kept = {x.doc_id for x in li.stage_language(spark, docs.unionByName(rows), SF).select("doc_id").collect()}
     assert kept == {x.doc_id for x in docs.collect()}
+
+
+def test_copies_are_learned_from_once(spark, monkeypatch):
+    """A text with thousands of copies doesn't crowd out the others."""
+    seen, svm = [], li.svm
+    monkeypatch.setattr(li, "svm", lambda x, y: seen.append((len(x), np.unique(x, axis=0).shape[0])) or svm(x, y))
+    rows = [(f"{w} text {i} of the {w}s", lang) for lang, w in (("en", "house"), ("fr", "maison"), ("de", "haus")) for i in range(40)]
+    rows = [(t.translate(str.maketrans("0123456789", "abcdefghij")), lang) for t, lang in rows]
+    copies = spark.createDataFrame([(t, "en") for t in [rows[7][0]] * 3000], "text string, lang string")
+    li.fit(spark.createDataFrame(rows, "text string, lang string").unionByName(copies))
+    assert seen[0] == (120, 120)
