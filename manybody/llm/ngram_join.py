@@ -16,10 +16,13 @@ loses no pair: of the set that keeps the larger ones, one kept segment is
 untouched and thus kept by the other set as well. Candidates pass a short folded
 sketch's Hamming bound, then the exact sets decide.
 
-Equal sets are one node from the start, whatever the number of copies. In a
-bucket all members are first compared with one centre, then each with the nearest
-(by sketch) that it isn't connected with; at last all pairs that are still
-unconnected are compared.
+Equal sets are one node from the start, whatever the number of copies. The buckets
+that share a centre (their member of least hash) are one canopy, whose members are
+kept once: near copies meet in a few canopies, not in each of their many segments.
+All members are compared with the centre, then those that are still apart with
+STARS - 1 other members; each of these rounds makes a pair a row. What is left of a
+canopy is compared in blocks of bounded rows and shingles, exactly and within the
+task, from which only a spanning forest of the links leaves.
 
 This finds a spanning set of links. All links lie within components, so their number
 is counted there, by comparing all sets of each component with each other exactly.
@@ -35,12 +38,15 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .common import components, materialise, maybe_broadcast, small_batches
 
-#: Rows of a bucket that are compared together, and bits of the sketches looked at there.
+#: Sets that are compared together, and bits of the sketches looked at before the sets are.
 BLOCK, SHORT = 2000, 2048
-#: Rounds in which each member proposes its nearest unconnected one, before all pairs that are still open.
-NEAREST_ROUNDS = 2
-#: A component's sets are counted in blocks of BLOCK sets and so many shingles at most; one of SPREAD sets and more goes to several tasks.
+#: Rounds in which each member of a canopy is compared with one of them.
+STARS = 3
+#: Blocks have so many shingles at most; the links of a component of SPREAD sets and more are counted by several tasks.
 BLOCK_SHINGLES, SPREAD = 4_000_000, 256
+#: Keys that are frequent in a sample (one set of HOT_PART, HOT_SEEN times; the HOT_KEYS most frequent) are dealt to
+#: HOT_PARTS tasks each. This changes where rows go, never a result.
+HOT_PART, HOT_SEEN, HOT_KEYS, HOT_PARTS = 64, 16, 100_000, 64
 
 
 def bands(num: int, den: int, upto: int) -> np.ndarray:
@@ -192,66 +198,145 @@ def _folded(batches):
         yield pa.record_batch([b.column("doc_id"), pa.array([_short(s, SHORT).tobytes() for s in b.column("sk").to_pylist()], pa.binary())], names=["doc_id", "f"])
 
 
-def _bucket_pairs(num: int, den: int, nearest: bool):
-    """From rows sorted by (key, lo, hi): pairs of different components whose sizes and short sketches allow the threshold.
+def _blocks(batches, names: tuple[str, ...]):
+    """Rows sorted by (centre, kind, lo, hi), a block at a time, as tuples of the columns after these four."""
+    held, at = [], None
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("centre", "kind", "lo", "hi", *names)), strict=True):
+            if at != row[:4]:
+                if len(held) > 1:
+                    yield at, held
+                held, at = [], row[:4]
+            held.append(row[4:])
+    if len(held) > 1:
+        yield at, held
 
-    nearest: only each row's pair of least sketch distance.
-    """
 
-    def pairs(rows):
-        ids, n, comp, side = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
-        width = min(len(r[7]) for r in rows) * 8
-        f = np.stack([_short(r[7], width) for r in rows])
-        lo, hi = rows[0][1], rows[0][2]
-        left = np.flatnonzero(side == lo)
-        right = left if lo == hi else np.flatnonzero(side == hi)
-        for i in left:
-            j = right[(comp[right] != comp[i]) & (nearest | (ids[right] > ids[i]) | (lo != hi))]
-            j = j[(den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))]
-            if len(j):
-                d = np.bitwise_count(f[j] ^ f[i]).sum(axis=1, dtype=np.int64)
-                on = (den + num) * d <= (n[j] + n[i]) * (den - num)
-                j, d = j[on], d[on]
-                if len(j):
-                    j = j[[np.lexsort((ids[j], d))[0]]] if nearest else j
-                    yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+def _sides(at, side: np.ndarray, main: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a block that are compared, and those that they are compared with."""
+    if at[1] == "A":
+        return np.flatnonzero(~main), np.arange(len(side))
+    if at[1] == "M":  # open rows of side lo with rows of the centre's component of side hi
+        return np.flatnonzero(~main), np.flatnonzero(main)
+    return np.flatnonzero(side == at[2]), np.flatnonzero(side == at[3])
+
+
+def _alike(num: int, den: int):
+    """Of blocks, the rows with a partner of another component that sizes and short sketches allow."""
 
     def run(batches):
-        held, out = [], []
+        for at, rows in _blocks(batches, ("doc_id", "n", "comp", "main", "side", "f")):
+            ids, n, comp, main, side = (np.array([r[i] for r in rows]) for i in range(5))
+            width = min(len(r[5]) for r in rows) * 8
+            f = np.stack([_short(r[5], width) for r in rows])
+            left, right = _sides(at, side, main)
+            found = np.zeros(len(rows), bool)
+            for i in left:
+                j = right[(comp[right] != comp[i]) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
+                if len(j):
+                    j = j[(den + num) * np.bitwise_count(f[j] ^ f[i]).sum(axis=1, dtype=np.int64) <= (n[j] + n[i]) * (den - num)]
+                    if len(j):
+                        found[i] = True
+                        found[j] = True
+            if found.any():
+                yield pa.record_batch([pa.array(np.full(int(found.sum()), at[0])), pa.array(ids[found])], names=["centre", "doc_id"])
 
-        def close():
-            return list(pairs(held)) if len(held) > 1 else []
+    return run
 
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi", "doc_id", "n", "comp", "side", "f")), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    out += close()
-                    held = []
-                held.append(row)
-            if len(out) > 2000:
-                yield pa.record_batch([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], names=["a", "b"])
-                out = []
-        out += close()
-        if out:
-            yield pa.record_batch([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], names=["a", "b"])
+
+def _coded(sets: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All sets' shingles as small numbers, one set after the other, and where each begins."""
+    code = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in sets]), return_inverse=True)[1].astype(np.int32)
+    return code, np.concatenate([[0], np.cumsum(n)])
+
+
+def _forest(num: int, den: int):
+    """Of blocks, links that connect what is connected by links of the block and by the components so far."""
+
+    def run(batches):
+        for at, rows in _blocks(batches, ("doc_id", "n", "comp", "main", "side", "hs")):
+            rows.sort(key=lambda r: (r[1], r[0]))
+            ids, n, comp, main, side = (np.array([r[i] for r in rows]) for i in range(5))
+            root = np.unique(comp, return_inverse=True)[1]
+            left, right = _sides(at, side, main)
+            code, begin = _coded([r[5] for r in rows], n)
+            there = np.concatenate([code[begin[j] : begin[j + 1]] for j in right]) if len(right) else code[:0]
+            start = np.concatenate([[0], np.cumsum(n[right])])
+            mark, a, b = np.zeros(int(code.max()) + 1, bool), [], []
+            for i in left:
+                lo, hi = np.searchsorted(n[right], -(-num * n[i] // den), "left"), np.searchsorted(n[right], den * n[i] // num, "right")
+                if lo >= hi or (root[right[lo:hi]] == root[i]).all():
+                    continue
+                own = code[begin[i] : begin[i + 1]]
+                mark[own] = True
+                both = np.add.reduceat(mark[there[start[lo] : start[hi]]], start[lo:hi] - start[lo], dtype=np.int64)
+                mark[own] = False
+                j = right[lo:hi]
+                j = j[(den * both >= num * (n[i] + n[j] - both)) & (root[j] != root[i])]
+                if len(j):
+                    j = j[np.unique(root[j], return_index=True)[1]]  # one link to each component
+                    a.append(np.full(len(j), ids[i]))
+                    b.append(ids[j])
+                    root[np.isin(root, root[j])] = root[i]
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
-def _open_pairs(live: DataFrame, known: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """All candidate pairs of live(key, doc_id, n, comp) that are in different components (or of each row the nearest).
+def _canopies(reps: DataFrame, k: int, num: int, den: int, most: int) -> DataFrame:
+    """centre, cn, doc_id, n: the members of all buckets that hold several sets, once for each centre; n, cn: sizes."""
+    emit = _emit(k, num, den, most)
+    part = reps.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(HOT_PART)) == 0).mapInArrow(emit, "key long, doc_id long, n int")
+    hot = materialise(part.groupBy("key").count().where(F.col("count") >= HOT_SEEN).orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key", F.lit(True).alias("hot")), "hot")
+    keys = reps.mapInArrow(emit, "key long, doc_id long, n int").join(F.broadcast(hot), "key", "left")
+    keys = keys.select("key", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(HOT_PARTS)).cast("int")).alias("part"), "doc_id", "n")
+    bucket = Window.partitionBy("key", "part")
+    least = F.min(F.struct(F.xxhash64("doc_id").alias("o"), "doc_id", "n"))
+    met = keys.withColumn("c", F.count("*").over(bucket)).withColumn("m", least.over(bucket)).where("c > 1 OR part IS NOT NULL")
+    met = materialise(met.select("key", "part", "doc_id", "n", "m"), "buckets")
+    tops = met.where("part IS NOT NULL").groupBy("key").agg(F.min("m").alias("top"))  # a row a hot key
+    met = met.join(F.broadcast(tops), "key", "left").withColumn("m", F.coalesce("top", "m"))
+    return materialise(met.select(F.col("m.doc_id").alias("centre"), F.col("m.n").alias("cn"), "doc_id", "n").distinct(), "canopies")
+
+
+def _in_blocks(live: DataFrame) -> DataFrame:
+    """live(centre, doc_id, n, comp, main, ...) with kind, lo, hi, side, by block.
 
-    Buckets are compared in blocks of about BLOCK rows, a task per pair of blocks, and
-    only pairs that the short sketches allow leave a task.
+    A canopy within the bounds is one block (kind A). Else open rows meet each other
+    (U) and the rows of the centre's component (M), which don't meet among themselves.
     """
-    w = Window.partitionBy("key")
-    live = live.withColumn("m", F.count("*").over(w)).withColumn("x", F.min("comp").over(w)).withColumn("y", F.max("comp").over(w)).where("x < y")
-    live = live.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-    live = live.select("key", "doc_id", "n", "comp", "side", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    live = live.select("key", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "doc_id", "n", "comp", "side")
-    live = live.join(known.select("doc_id", "sk").mapInArrow(_folded, "doc_id long, f binary"), "doc_id")
-    live = live.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return live.select("key", "lo", "hi", "doc_id", "n", "comp", "side", "f").mapInArrow(_bucket_pairs(num, den, nearest), "a long, b long")
+    by = live.groupBy("centre").agg(*[f(F.when(F.col("main") == m, x)).alias(f"{a}{int(m)}") for m in (True, False) for a, f, x in (("m", F.count, F.lit(1)), ("w", F.sum, F.col("n").cast("long")))])
+    parts = lambda m: F.greatest(F.ceil(F.col(f"m{m}") / BLOCK), F.ceil(F.coalesce(f"w{m}", F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    one = (F.col("m0") + F.col("m1") <= BLOCK) & (F.coalesce("w0", F.lit(0)) + F.coalesce("w1", F.lit(0)) <= BLOCK_SHINGLES)
+    by = by.select("centre", one.alias("one"), parts(1).alias("mains"), parts(0).alias("opens")).where("opens > 0")
+    rows = live.join(by, "centre").withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.when(F.col("main"), F.col("mains")).otherwise(F.col("opens"))).cast("int"))
+    place = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    none = F.array().cast("array<struct<kind:string,lo:int,hi:int>>")
+    with_main = F.when(F.col("mains") > 0, F.transform(upto("mains"), lambda o: place("M", F.col("side"), o))).otherwise(none)
+    with_open = F.transform(upto("opens"), lambda o: place("U", F.least("side", o), F.greatest("side", o)))
+    to = F.when(F.col("one"), F.array(place("A", F.lit(0), F.lit(0)))).when(F.col("main"), F.transform(upto("opens"), lambda o: place("M", o, F.col("side")))).otherwise(F.concat(with_main, with_open))
+    rows = rows.withColumn("to", F.explode(to)).drop("one", "mains", "opens")
+    return rows.select("centre", "to.kind", "to.lo", "to.hi", *[c for c in rows.columns if c not in ("centre", "to")])
+
+
+def _dealt(rows: DataFrame, *names: str) -> DataFrame:
+    at = ("centre", "kind", "lo", "hi")
+    return rows.select(*at, *names).repartition(*at).sortWithinPartitions(*at)
+
+
+def _labelled(canopies: DataFrame, labels: DataFrame | None, *more) -> DataFrame:
+    """Canopies of several components, with comp, main (of the centre's component), and aggregates of the canopy."""
+    if labels is None:
+        live = canopies.withColumn("comp", F.col("doc_id")).withColumn("top", F.col("centre"))
+    else:
+        live = canopies.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(labels.select(F.col("node").alias("centre"), F.col("comp").alias("top")), "centre", "left")
+        live = live.withColumn("comp", F.coalesce("comp", "doc_id")).withColumn("top", F.coalesce("top", "centre"))
+    live = live.withColumn("main", F.col("comp") == F.col("top")).select("centre", "cn", "doc_id", "n", "comp", "main")
+    by = live.groupBy("centre").agg(F.min("main").alias("same"), *more).where("NOT same").drop("same")
+    return live.join(by, "centre")
 
 
 def _class_sets(batches):
@@ -269,8 +354,7 @@ def _link_counts(num: int, den: int):
         rows = sorted(rows, key=lambda r: r[6])
         lo, hi = rows[0][1:3]
         side, n, copies = (np.array([r[i] for r in rows], np.int64) for i in (3, 6, 7))
-        at = np.concatenate([[0], np.cumsum(n)])
-        code = np.unique(np.concatenate([np.frombuffer(r[8], np.uint64) for r in rows]), return_inverse=True)[1].astype(np.int32)
+        code, at = _coded([r[8] for r in rows], n)
         left = np.flatnonzero(side == lo)
         right = left if lo == hi else np.flatnonzero(side == hi)
         there = np.concatenate([code[at[j] : at[j + 1]] for j in right]) if len(right) else code[:0]
@@ -355,37 +439,47 @@ def _join(docs: DataFrame, k: int, num: int, den: int, count: bool) -> DataFrame
     copies = materialise(member.where("doc_id <> rep").select("doc_id").distinct().join(twice, "doc_id", "left_anti"), "copies")
     most = prof.agg(F.max("n")).first()[0] or 1
     reps = text.where("text IS NOT NULL AND doc_id IS NOT NULL").join(maybe_broadcast(copies, copies.count()), "doc_id", "left_anti")
-    keys = reps.mapInArrow(_emit(k, num, den, int(most)), "key long, doc_id long, n int")
-    collided = keys.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").drop("c")
-    collided = materialise(collided, "collided")
+    canopies = _canopies(reps, k, num, den, int(most))
     edges = labels = done = None  # done: sets already at hand
-    for turn in range(NEAREST_ROUNDS + 2):
-        if turn == 0:
-            centre = F.min(F.struct(F.xxhash64("doc_id").alias("o"), "doc_id", "n")).over(Window.partitionBy("key"))
-            size_ok = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
-            pairs = collided.withColumn("m", centre).where("doc_id <> m.doc_id").select(F.least("doc_id", "m.doc_id").alias("a"), F.greatest("doc_id", "m.doc_id").alias("b"), F.col("n").alias("na"), F.col("m.n").alias("nb")).where(size_ok)
-        else:
-            live = collided if labels is None else collided.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            live = live.withColumn("comp", F.coalesce("comp", "doc_id")) if labels is not None else live.withColumn("comp", F.col("doc_id"))
-            pairs = _open_pairs(live, known, num, den, nearest=turn <= NEAREST_ROUNDS)
-        pairs = pairs.select("a", "b").distinct()
-        sk = known.select("doc_id", "n", "sk")
-        close = pairs.join(sk.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sk").alias("sa")), "a").join(sk.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sk").alias("sb")), "b")
-        close = materialise(close.mapInArrow(_near(num, den), "a long, b long"), "close")
-        ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-        ids = ids if done is None else ids.join(done.select("doc_id"), "doc_id", "left_anti")
-        ids = materialise(ids, "ids")
-        n = ids.count()
-        if n:
+
+    def sets_of(ids: DataFrame) -> None:
+        """Adds the sets of documents that are not at hand yet."""
+        nonlocal done
+        ids = materialise(ids if done is None else ids.join(done.select("doc_id"), "doc_id", "left_anti"), "ids")
+        if n := ids.count():
             sets = materialise(text.where("text IS NOT NULL").join(maybe_broadcast(ids, n), "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, hs binary"), "sets")
             done = sets if done is None else done.unionByName(sets)
-        if done is None:
-            continue
-        found = close.join(done.select(F.col("doc_id").alias("a"), F.col("hs").alias("ha")), "a").join(done.select(F.col("doc_id").alias("b"), F.col("hs").alias("hb")), "b").select("a", "b", "ha", "hb")
-        found = materialise(found.mapInArrow(_exact(num, den), "a long, b long"), "links")
+
+    def link(found: DataFrame) -> None:
+        nonlocal edges, labels
+        found = materialise(found, "links")
         if found.limit(1).count():
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges)
+
+    size_ok = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
+    sk = known.select("doc_id", "n", "sk")
+    for turn in range(STARS):
+        if turn == 0:
+            pairs = canopies.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"), F.col("n").alias("na"), F.col("cn").alias("nb"))
+        else:
+            live = _labelled(canopies, labels, F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("o"), "doc_id", "n", "comp")).alias("m"))
+            pairs = live.where("comp <> m.comp").select(F.col("doc_id").alias("a"), F.col("m.doc_id").alias("b"), F.col("n").alias("na"), F.col("m.n").alias("nb"))
+        pairs = pairs.where(size_ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        close = pairs.join(sk.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sk").alias("sa")), "a").join(sk.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sk").alias("sb")), "b")
+        close = materialise(close.mapInArrow(_near(num, den), "a long, b long"), "close")
+        sets_of(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct())
+        if done is not None:
+            found = close.join(done.select(F.col("doc_id").alias("a"), F.col("hs").alias("ha")), "a").join(done.select(F.col("doc_id").alias("b"), F.col("hs").alias("hb")), "b").select("a", "b", "ha", "hb")
+            link(found.mapInArrow(_exact(num, den), "a long, b long"))
+    live = materialise(_labelled(canopies, labels).drop("cn"), "open")
+    rows = _in_blocks(live.join(known.select("doc_id", "sk").mapInArrow(_folded, "doc_id long, f binary").dropDuplicates(["doc_id"]), "doc_id"))
+    alike = _dealt(rows, "doc_id", "n", "comp", "main", "side", "f").mapInArrow(_alike(num, den), "centre long, doc_id long")
+    alike = materialise(alike.distinct(), "alike")
+    sets_of(alike.select("doc_id").distinct())
+    if done is not None:
+        rows = _in_blocks(live.join(alike, ["centre", "doc_id"])).join(done, "doc_id")
+        link(_dealt(rows, "doc_id", "n", "comp", "main", "side", "hs").mapInArrow(_forest(num, den), "a long, b long"))
     links = known.join(twice, "doc_id", "left_semi").join(classes, ["h1", "h2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = materialise(links.distinct(), "repeats")
     if links.limit(1).count():
@@ -397,10 +491,7 @@ def _join(docs: DataFrame, k: int, num: int, den: int, count: bool) -> DataFrame
     if count:
         to = materialise(to, "members")
         more = to.join(known.join(twice, "doc_id", "left_semi").select("h1", "h2", "n"), ["h1", "h2", "n"], "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        more = materialise(more if done is None else more.join(done.select("doc_id"), "doc_id", "left_anti"), "more")
-        if n := more.count():
-            sets = materialise(text.where("text IS NOT NULL").join(maybe_broadcast(more, n), "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, hs binary"), "sets")
-            done = sets if done is None else done.unionByName(sets)
+        sets_of(more)
         links = F.col("copies") - 1
         if done is not None:
             to = to.join(materialise(_count_links(done, to, num, den), "counts"), ["h1", "h2", "n"], "left")
@@ -422,15 +513,19 @@ def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 def stage_ngram_join(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of linked documents (5-word shingles, 80 of 100) the one of smallest doc_id stays.
 
-    Documents without words are in no group and stay; of rows that repeat a doc_id
-    one stays. Rows without doc_id stay.
+    Documents without words are in no group and stay, and so do rows without doc_id.
+    Rows that repeat a doc_id are one document: all its different texts stay, or none;
+    of rows with equal doc_id and text the one whose other columns come first as JSON.
     """
     parts = jaccard_components(docs).select("doc_id", "component_id").where("component_id <> doc_id").select("doc_id").distinct()
     parts = materialise(parts, "dropped")
-    out = docs.join(maybe_broadcast(parts, parts.count()), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    names = [f"`{c}`" for c in docs.columns]
+    out = docs.join(maybe_broadcast(parts, parts.count()), "doc_id", "left_anti").select(*names)
     twice = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     n = twice.count()
     if n:
         ids = maybe_broadcast(twice, n)
-        out = out.join(ids, "doc_id", "left_anti").unionByName(out.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        row = F.struct(*names)
+        again = out.join(ids, "doc_id", "left_semi").groupBy("doc_id", F.col("text").alias("by")).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        out = out.join(ids, "doc_id", "left_anti").select(*names).unionByName(again.select(*names))
+    return out.select(*names)

@@ -219,7 +219,8 @@ class PieceEncoder:
     which special tokens may stand, are cut at white space alone. Pieces of ASCII
     alone are lower-cased here; the others keep their case, as a capital may compose
     with a mark otherwise than its small letter does. The ids of a piece are found
-    by its 64-bit hash.
+    by a 64-bit hash; a second one, kept with them, must agree as well, or the piece
+    goes to the library by itself.
     """
 
     def __init__(self, data: bytes):
@@ -230,7 +231,7 @@ class PieceEncoder:
         special = [t.content for t in own.get_added_tokens_decoder().values()]
         self.inner = [x for x, _ in parts] == PARTS and all(x.startswith("<|") for x in special)
         self.plain = re.compile("[a-z]+") if self.inner else re.compile("(?!)")
-        self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.second, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _library(self, pieces: list[str]) -> list[list[int]]:
         """Pieces of a-z alone are the model's input as they are; the rest takes the whole way."""
@@ -247,7 +248,7 @@ class PieceEncoder:
                 out[i] = e.ids
         return out
 
-    def _learn(self, keys: np.ndarray, pieces: list[str], keep: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, second: np.ndarray, pieces: list[str], keep: np.ndarray) -> None:
         """Adds pieces, whose keys ascend; of those known, only the ones marked in keep stay if they are too many."""
         collects = gc.isenabled()
         gc.disable()  # so many short lists, none of them in a cycle, would be looked through again and again
@@ -260,12 +261,12 @@ class PieceEncoder:
                 gc.enable()
         if len(self.keys) + len(keys) > KEEP:
             self.flat = self.flat[_ranges(self.at[keep], self.size[keep])]
-            self.keys, self.size = self.keys[keep], self.size[keep]
+            self.keys, self.second, self.size = self.keys[keep], self.second[keep], self.size[keep]
             self.at = np.cumsum(self.size) - self.size
         into = np.searchsorted(self.keys, keys)
         self.at = np.insert(self.at, into, len(self.flat) + np.cumsum(size) - size)
         self.size = np.insert(self.size, into, size)
-        self.keys = np.insert(self.keys, into, keys)
+        self.keys, self.second = np.insert(self.keys, into, keys), np.insert(self.second, into, second)
         self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -290,8 +291,10 @@ class PieceEncoder:
             own = np.unique(np.searchsorted(starts, np.flatnonzero(raw > 127), "right") - 1)
             own = _ranges(starts[own], np.append(starts[1:], len(raw))[own] - starts[own])
             buf[own] = raw[own]
-        hashes, begins, _ = tb.word_hashes(buf, where, tb.SPACE, cut=cut)
+        (hashes, second), begins, _ = tb.word_hashes(buf, where, tb.SPACE, cut=cut, seeds=(1, 2))
         assert len(starts) == len(hashes)
+        ends = np.append(starts[1:], len(buf))
+        piece = lambda i: buf[starts[i] : ends[i]].tobytes().rstrip(b" \t\n\v\f\r").decode()
         keys, one, which = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
@@ -300,14 +303,17 @@ class PieceEncoder:
         if not known.all():
             used = np.zeros(len(self.keys), bool)
             used[place[known]] = True
-            ends = np.append(starts[1:], len(buf))[one[~known]]
-            data = buf.tobytes()
-            pieces = [data[a:b].rstrip(b" \t\n\v\f\r").decode() for a, b in zip(starts[one[~known]].tolist(), ends.tolist(), strict=True)]
-            self._learn(keys[~known], pieces, used)
+            new = one[~known]
+            self._learn(keys[~known], second[new], [piece(i) for i in new.tolist()], used)
             place = np.searchsorted(self.keys, keys)
-        size = self.size[place][which]
+        at, size, flat = self.at[place][which], self.size[place][which], self.flat
+        if len(other := np.flatnonzero(self.second[place][which] != second)):
+            ids = [np.array(x, np.uint32) for x in self._library([piece(i) for i in other.tolist()])]
+            size[other] = [len(x) for x in ids]
+            at[other] = len(flat) + np.cumsum(size[other]) - size[other]
+            flat = np.concatenate([flat, *ids])
         total = np.concatenate([[0], np.cumsum(size)])
-        return self.flat[_ranges(self.at[place][which], size)], total[begins]
+        return flat[_ranges(at, size)], total[begins]
 
 
 def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:

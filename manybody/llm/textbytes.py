@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,8 +19,11 @@ NOT_ALNUM[:128] = True
 NOT_ALNUM[48:58] = NOT_ALNUM[97:123] = NOT_ALNUM[65:91] = False
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-#: Bytes of text hashed at once; a dozen arrays of 8 bytes a text byte stand beside it.
+#: The low bytes of an 8-byte block.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words are hashed by blocks of 8 bytes up to this length; BLAKE2 takes longer ones.
+BY_BLOCKS = 64
+#: Bytes of text hashed at once; a few arrays of 8 bytes a word stand beside it.
 CHUNK = 1 << 20
 
 
@@ -58,13 +63,29 @@ def spans(buf: np.ndarray, at: np.ndarray, sep: np.ndarray):
         lo = hi
 
 
-def word_hashes(buf: np.ndarray, at: np.ndarray, sep: np.ndarray, prefixes: tuple[int, ...] = (), cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """64-bit hashes of all words; where each text's words begin; hashes of the words' first bytes.
+def _hash(part: np.ndarray, blocks: np.ndarray, starts: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the words at starts: each block is mixed into the hash of those before it, the length goes first."""
+    h = mix(blocks[starts] & _LOW[np.minimum(length, 8)] ^ mix(length.astype(np.uint64) + np.uint64(seed * int(_BASE) & (1 << 64) - 1)))
+    on = np.flatnonzero(length > 8)
+    for at in range(8, BY_BLOCKS, 8):
+        if not len(on):
+            break
+        h[on] = mix(h[on] * _BASE ^ blocks[starts[on] + at] & _LOW[np.minimum(length[on] - at, 8)])
+        on = on[length[on] > at + 8]
+    for i in on.tolist():
+        word = part[starts[i] : starts[i] + length[i]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=seed.to_bytes(8)).digest(), "little")
+    return h
+
+
+def word_hashes(buf: np.ndarray, at: np.ndarray, sep: np.ndarray, prefixes: tuple[int, ...] = (), cut: np.ndarray | None = None, seeds: tuple[int, ...] = (1,)) -> tuple:
+    """64-bit hashes of all words (an array for each seed, the first by itself); where each text's words begin; hashes of the words' first bytes.
 
-    buf is lower-cased already. A prefix's hash is 0 for words not longer than it.
-    cut marks bytes at which a word begins besides those after separators.
+    buf is lower-cased already. A prefix (of 7 bytes at most) has hash 0 for words not
+    longer than it. cut marks bytes at which a word begins besides those after
+    separators. With several seeds the hashes come as a list.
     """
-    out, begun, pre = [], [], [[] for _ in prefixes]
+    out, begun, pre = [[] for _ in seeds], [], [[] for _ in prefixes]
     for lo, hi in spans(buf, at, sep):
         part = buf[lo:hi]
         word = ~sep[part]
@@ -77,22 +98,23 @@ def word_hashes(buf: np.ndarray, at: np.ndarray, sep: np.ndarray, prefixes: tupl
         starts = np.flatnonzero(first)
         if not len(starts):
             continue
-        place = np.arange(len(part)) - starts[np.maximum(np.cumsum(first) - 1, 0)]
-        place[~word] = 0
-        power = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64))
-        value = _BYTE[part] * power[place]
-        value[~word] = 0
-        out.append(np.add.reduceat(value, starts))
-        length = np.add.reduceat(word.astype(np.int32), starts)
-        for into, k in zip(pre, prefixes, strict=True):
-            h = np.add.reduceat(np.where(place < k, value, np.uint64(0)), starts)
-            h[length <= k] = 0
-            into.append(h)
+        length = np.add.reduceat(word, starts, dtype=np.int64)
+        blocks = np.ndarray(len(part), "<u8", np.concatenate([part, np.zeros(8, np.uint8)]), strides=(1,))
+        for into, seed in zip(out, seeds, strict=True):
+            into.append(_hash(part, blocks, starts, length, seed))
+        if prefixes:
+            head = blocks[starts]
+            for into, k in zip(pre, prefixes, strict=True):
+                h = mix(head & _LOW[k] ^ mix(np.array([k], np.uint64) + _BASE))
+                h[length <= k] = 0
+                into.append(h)
         begun.append(starts + lo)
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), [np.zeros(0, np.uint64) for _ in prefixes]
+    if not begun:
+        none = [np.zeros(0, np.uint64) for _ in seeds]
+        return none[0] if len(seeds) == 1 else none, np.zeros(len(at), np.int64), [np.zeros(0, np.uint64) for _ in prefixes]
     where = np.concatenate(begun)
-    return mix(np.concatenate(out)), np.searchsorted(where, at), [np.concatenate(x) for x in pre]
+    all_ = [np.concatenate(x) for x in out]
+    return all_[0] if len(seeds) == 1 else all_, np.searchsorted(where, at), [np.concatenate(x) for x in pre]
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

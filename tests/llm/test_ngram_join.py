@@ -22,7 +22,7 @@ def brute(rows, k, num, den):
     for x, a in enumerate(ids):
         for b in ids[:x]:
             both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and den * both >= num * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     return {(i, len(sets[i]), find(i)) for i in ids}
@@ -107,3 +107,40 @@ def test_repeats_of_which_one_is_a_copy(spark):
     assert {x.component_id for x in got} == {3}
     want = sorted((str(i), c) for (i, _), c in zip(rows, links_by_brute_force(rows, 3, 90, 100)))
     assert sorted((str(x.doc_id), x.n_links) for x in got) == want
+
+
+def thue_morse(n, a, b):
+    x = "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+    return x, "".join(a if c == b else b for c in x)
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    rows = [(i * 10 + j, t) for i, n in enumerate((1024, 2048)) for j, t in enumerate(thue_morse(n, "a", "b"))]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, 1, i) for i, _ in rows)
+
+
+def test_a_large_group_of_near_copies_below_and_above_the_threshold(spark, monkeypatch):
+    """2,000 copies of which no two of the first half link, in one and in many blocks, hot keys included."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for j in r.sample(range(200), 9 if i < 1000 else 1):
+            w[j] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = None
+    for block, seen in ((2000, 16), (300, 2)):
+        monkeypatch.setattr(nj, "BLOCK", block)
+        monkeypatch.setattr(nj, "HOT_SEEN", seen)
+        got = {tuple(x) for x in jaccard_components(docs).collect()}
+        want = want or brute(rows, 5, 80, 100)
+        assert got == want
+
+
+def test_the_stage_keeps_different_texts_of_a_doc_id(spark):
+    rows = [(1, "a b c", "x"), (1, "d e f", "y"), (1, "d e f", "a"), (2, "a b c", "z"), (3, None, None), (3, None, None)]
+    got = nj.stage_ngram_join(spark, spark.createDataFrame(rows, "doc_id long, text string, n string"), "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a b c", "x"), (1, "d e f", "a"), (3, None, None)]))

@@ -71,3 +71,26 @@ def test_capitals_that_compose_only_when_small():
     flat, at = own.encode(pa.array(docs, pa.string()))
     want = [own.own.encode(d, add_special_tokens=False).ids for d in docs]
     assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
+def _encoder():
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        return st.PieceEncoder(f.read())
+
+
+def test_pieces_that_collide_in_polynomial_hashes():
+    x = "".join("a" if bin(i).count("1") % 2 == 0 else "b" for i in range(2048))
+    docs = [x, x.translate(str.maketrans("ab", "ba")), x[:1024], x[1024:]]
+    own = _encoder()
+    flat, at = own.encode(pa.array(docs))
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [own.own.encode(d, add_special_tokens=False).ids for d in docs]
+
+
+def test_pieces_with_one_first_hash(monkeypatch):
+    """If all first hashes are one, the second ones still tell the pieces apart."""
+    hashes = st.tb.word_hashes
+    monkeypatch.setattr(st.tb, "word_hashes", lambda *a, **k: ((lambda h, *rest: ([h[0] * 0, h[1]], *rest))(*hashes(*a, **k))))
+    own, docs = _encoder(), ["some words, some", "others", None, "words again"]
+    for _ in range(2):
+        flat, at = own.encode(pa.array(docs, pa.string()))
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [own.own.encode(d or "", add_special_tokens=False).ids for d in docs]
