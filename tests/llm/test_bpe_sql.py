@@ -29,3 +29,25 @@ def test_repeats_are_encoded_once(spark):
     """With small caches equal texts of a batch go through the codec once, and the results are the same."""
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one two", "one two", None, "", None, "three", "one two"])], "doc_id long, text string").coalesce(1)
     assert sorted(map(tuple, b.digests(docs, PATH, P.PATTERN, small=True).collect())) == sorted(map(tuple, b.digests(docs, PATH, P.PATTERN).collect()))
+
+
+def test_long_pieces():
+    """Pieces up to 100 KB without a place to cut: random letters, runs, and tokens cut short, which restart merges late."""
+    with open(PATH, "rb") as f:
+        codec = b.Codec(f.read(), P.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    r = random.Random(1)
+    vocab = sorted(t.decode() for t in codec.ranks if t.isalpha() and t.isascii())
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (66, 67, 68, 133, 700, 12_000)]
+    texts += [x * n for x in ("a", "ab", "tion", "the", "-", " ") for n in (67, 1001)] + ["e" * 100_000, "ing" * 33_333]
+    texts += ["".join(t[: r.randint(1, len(t))] for t in r.choices(vocab, k=n)) for n in (20, 40, 80, 1500) for _ in range(8)]
+    got = [b._ids(x) for x in codec.encode(texts)]
+    assert [x.tolist() for x in got] == [own.encode_ordinary(t) for t in texts]
+    assert codec.decode(got) == [t.encode() for t in texts]
+
+
+def test_integer_ids_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a"), (None, None)], "doc_id int, text string")
+    assert sorted(map(str, ((r.doc_id, r.n_tokens) for r in b.digests(docs, PATH, P.PATTERN).collect()))) == ["(1, 1)", "(None, 0)"]
+    assert {r.bytes for r in b.decode(b.encode(docs, PATH, P.PATTERN), PATH).collect()} == {b"a", b""}
+    assert b.stage_bpe(spark, docs.where("false"), "").count() == 0
