@@ -23,11 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared work folder; a local one only where the session names none (tests)."""
+    """The shared work folder, with its scheme; a local one only where a local session names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="manybody-")
         spark.conf.set("spark.checkpoint.dir", base)
+    if "://" not in base:  # else a task's own writer would take another file system than Spark's
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        base = base.replace("file:/", "file:///", 1) if base.startswith("file:/") and not base.startswith("file://") else base
     return base.rstrip("/")
 
 
@@ -61,13 +67,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts fits a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
+    """Bounds the rows and bytes of an Arrow batch, so that a batch of long texts fits a worker's memory.
+
+    The session keeps the bounds: plans read them when they run, which is after this call.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(rows))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores before it as long as a column has it (upper and lower case count alike)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def maybe_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcasts df only if its counted rows are within the bound; else Spark shuffles both sides."""
     return F.broadcast(df) if rows <= bound else df

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import fresh, small_batches, table
 
 BITS = 13
-#: Characters looked at together; longer texts are summed over such pieces, without the n-grams across a cut.
+#: Characters looked at together; longer texts are summed over such pieces.
 PIECE = 1 << 19
 #: Language families by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -39,9 +39,13 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Where each text begins, and the feature of each character's 1-, 2- and 3-gram (-1: none)."""
-    low = [t.lower() for t in texts]
+def _grams(texts: list[str], before: list[int] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each text begins, and the feature of each character's 1-, 2- and 3-gram (-1: none).
+
+    before: how many characters at a text's start only stand before its n-grams; they end none.
+    Texts are lower-cased already.
+    """
+    low = texts
     at = np.concatenate([[0], np.cumsum([len(t) + 2 for t in low])])
     code = np.frombuffer("".join(t + "  " for t in low).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     code[~_letters()[code]] = 32
@@ -53,15 +57,27 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         f = (((h + np.uint32(i)) * np.uint32(0xC2B2AE3D) ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - BITS)).astype(np.int32)
         f[none | (code == 32) if i == 0 else none] = -1
         out.append(f)
+    for a, b, n, t in zip(at[:-1], at[1:], before or [], low):
+        whole = n >> 2 == 0  # the text goes on after this piece: the two spaces that end it stand for nothing
+        for f in out:
+            f[a : a + (n & 3)] = -1
+            if not whole:
+                f[b - 2 : b] = -1
     return at, out
 
 
 def _pieces(texts: list[str | None]):
-    """Lists of (text number, piece) of about PIECE characters together."""
+    """Lists of (text number, piece, what stands before and after it) of about PIECE characters together.
+
+    A piece after the first begins with the two characters before it. The last number
+    has these characters' count in its low two bits and 4 if the text goes on.
+    """
     held, size = [], 0
     for i, t in enumerate(texts):
-        for j in range(0, len(t or ""), PIECE):
-            held.append((i, t[j : j + PIECE]))
+        t = (t or "").lower()
+        for j in range(0, len(t), PIECE):
+            back = min(j, 2)
+            held.append((i, t[j - back : j + PIECE], back + 4 * (j + PIECE < len(t))))
             size += len(held[-1][1])
             if size >= PIECE:
                 yield held
@@ -82,7 +98,7 @@ def _frequencies(batches):
         for t in texts:
             total = np.zeros(1 << BITS)
             for held in _pieces([t]):
-                for f in _grams([p for _, p in held])[1]:
+                for f in _grams([p for _, p, _ in held], [n for *_, n in held])[1]:
                     total += np.bincount(f[f >= 0], minlength=1 << BITS)
             at = np.flatnonzero(total)
             index.append(at.astype(np.int32))
@@ -126,8 +142,8 @@ class LanguageModel:
         alike, known_only = np.zeros(len(texts)), known_only and self.like is not None
         like = np.append(self.like, 0.0) if known_only else None
         for held in _pieces(texts):
-            at, features = _grams([p for _, p in held])
-            doc = [i for i, _ in held]
+            at, features = _grams([p for _, p, _ in held], [n for *_, n in held])
+            doc = [i for i, *_ in held]
             for f in features:
                 np.add.at(grams, doc, np.add.reduceat((f >= 0).astype(np.int64), at[:-1]))
                 for c in range(total.shape[1]):
@@ -222,22 +238,22 @@ def fit(rows: DataFrame, per_language: int = 600) -> LanguageModel:
     return LanguageModel(families, members, pairs, weights, np.array([b for _, b in fits]), like, least)
 
 
-def identify(docs: DataFrame, model: LanguageModel, known_only: bool = False) -> DataFrame:
-    """docs with lang_pred and score added; und and 0 where the text is null or has no letter.
+def identify(docs: DataFrame, model: LanguageModel, known_only: bool = False, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the columns pred and score added (or replaced); und and 0 where the text is null or has no letter.
 
-    known_only: also where it resembles none of the learned languages.
+    known_only: also where it resembles none of the learned languages. Repeated rows stay.
     """
     small_batches(docs.sparkSession)
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c not in (pred, score)]
     docs = docs.select(*[f"`{c}`" for c in names])
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
 
     def run(batches):
         for b in batches:
-            lang, score = model.predict(b.column("text").to_pylist(), known_only)
-            yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            lang, sure = model.predict(b.column("text").to_pylist(), known_only)
+            yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=[*names, pred, score])
 
     return docs.mapInArrow(run, schema)
 
@@ -258,5 +274,6 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drops documents without letters or that resemble none of the learned languages; the columns stay."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
-    kept = identify(docs, model, known_only=True).where(F.col("lang_pred") != "und")
+    pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
+    kept = identify(docs, model, True, pred, score).where(F.col(pred) != "und")
     return kept.select(*[f"`{c}`" for c in docs.columns])

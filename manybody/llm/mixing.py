@@ -51,17 +51,21 @@ class DomainModel:
         sums = [F.aggregate("ids", F.lit(0.0), add(t)) for t in tables]
         n = F.greatest(F.size("ids"), F.lit(1))
         weight = F.least(n, F.lit(EVIDENCE)) / n
-        score = F.array(*[F.lit(p) + s * weight for p, s in zip(self.prior, sums, strict=True)])
+        score = F.array(*[F.lit(p) + s * weight for p, s in zip(self.prior, sums, strict=True)]) if sums else F.array().cast("array<double>")
         return ids, score
 
     def add(self, docs: DataFrame, name: str = "p") -> DataFrame:
-        """docs with the array column <name> of probabilities (the priors for a text without words) and n_tokens."""
-        ids, score = self.posteriors(F.col("text"))
-        out = docs.withColumn("ids", ids).withColumn("score", score)
+        """docs as the struct column row, with the array column <name> of probabilities and n_tokens.
+
+        A text without words has the priors; without domains the array is empty. Columns
+        of docs may have any names; text is read.
+        """
+        ids, score = self.posteriors(F.col("row.text"))
+        out = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")).withColumn("ids", ids).withColumn("score", score)
         top = F.array_max("score")
         out = out.withColumn("score", F.transform("score", lambda x: F.exp(x - top)))
         total = F.aggregate("score", F.lit(0.0), lambda a, x: a + x)
-        return out.withColumn(name, F.transform("score", lambda x: x / total)).withColumn("n_tokens", F.size("ids").cast("long")).drop("ids", "score")
+        return out.select("row", F.transform("score", lambda x: x / total).alias(name), F.size("ids").cast("long").alias("n_tokens"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 10_000) -> DomainModel:
@@ -94,8 +98,8 @@ def _start() -> Column:
     return F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("was"))
 
 
-def _fold(start: Column, steps: list[list[float]], k: int) -> Column:
-    """A struct (r, was) after further steps: each a momentum b and K numbers h, r <- max(0, r + b (r - was) - p.h)."""
+def _fold(start: Column, steps: list[list[float]], k: int, least: float = 0.0) -> Column:
+    """A struct (r, was) after further steps: each a momentum b and K numbers h, r <- max(least, r + b (r - was) - p.h)."""
     if not steps:
         return start
     flat = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
@@ -104,44 +108,50 @@ def _fold(start: Column, steps: list[list[float]], k: int) -> Column:
         move = F.get(h, F.lit(1)) * F.get(F.col("p"), F.lit(0))
         for i in range(1, k):
             move = move + F.get(h, F.lit(i + 1)) * F.get(F.col("p"), F.lit(i))
-        r = F.greatest(F.lit(0.0), s["r"] + F.get(h, F.lit(0)) * (s["r"] - s["was"]) - move)
+        r = F.greatest(F.lit(float(least)), s["r"] + F.get(h, F.lit(0)) * (s["r"] - s["was"]) - move)
         return F.struct(r.alias("r"), s["r"].alias("was"))
 
     return F.aggregate(flat, start, one)
 
 
-def rates(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None) -> tuple[DataFrame, list[list[float]]]:
-    """Rates of members(p, n_tokens, ...): members with the column rate, and all steps taken.
+def rates(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, least: float = 0.0) -> tuple[DataFrame, list[list[float]], float]:
+    """Rates of members(p, n_tokens, ...): members with the column rate, all steps taken, and the gap.
 
     targets: a share for each domain (any positive scale). budget: words wanted in
-    all, by default as many as there are; 'cover' (a negative number): the fewest with
-    which no domain shrinks.
+    all, by default as many as there are; a negative number: the fewest with which no
+    domain shrinks. least: no rate is lower. The gap is the largest distance of a
+    domain's words from its target, as a part of the budget: at most TOLERANCE unless
+    the rates' bound or TURNS turns stand in the way. Without domains, without targets
+    for them or without words all rates are 1.
     """
     k = len(domains)
+    if not k or sum(targets.get(d, 0.0) for d in domains) <= 0:
+        return members.withColumn("rate", F.lit(1.0)), [], 0.0
     sums = lambda df, rate: [x or 0.0 for x in df.agg(*[F.sum(rate * F.col("n_tokens") * F.get("p", F.lit(i))) for i in range(k)]).first()]
     now = sums(members, F.lit(1.0))
-    share = [targets.get(d, 0.0) / sum(targets.get(x, 0.0) for x in domains) for d in domains] if k else []
+    share = [targets.get(d, 0.0) / sum(targets.get(x, 0.0) for x in domains) for d in domains]
     total = sum(now) if budget is None else budget if budget >= 0 else max([c / s for c, s in zip(now, share, strict=True) if s > 0] or [0.0])
     want = [total * s for s in share]
     scale = [max(c, 1e-9 * max(sum(now), 1.0)) for c in now]
     # the scaled Gram matrix's largest eigenvalue is at most its largest row sum
-    gram = members.agg(*[F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))) for i in range(k) for j in range(k)]).first() if k else []
+    gram = members.agg(*[F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))) for i in range(k) for j in range(k)]).first()
     top = max([sum((gram[i * k + j] or 0.0) / (scale[i] * scale[j]) ** 0.5 for j in range(k)) for i in range(k)] or [1.0]) or 1.0
-    start, table_, kept, steps = _start(), members, [], []
-    for turn in range(TURNS):
+    start, table_, kept, steps, short = _start(), members, [], [], 0.0
+    for turn in range(TURNS + 1):
         b = turn / (turn + 3)
-        ahead = table_.withColumn("s", _fold(start, kept, k))
+        ahead = table_.withColumn("s", _fold(start, kept, k, least))
         have = sums(ahead, F.col("s.r") + b * (F.col("s.r") - F.col("s.was"))) if steps else now
         gap = [a - t for a, t in zip(have, want, strict=True)]
-        if max([abs(g) for g in gap] or [0.0]) <= TOLERANCE * max(total, 1.0):
+        short = max(abs(g) for g in gap) / max(total, 1.0)
+        if short <= TOLERANCE or turn == TURNS:
             break
         step = [b, *(g / s / top for g, s in zip(gap, scale, strict=True))]
         kept.append(step)
         steps.append(step)
         if len(kept) == STEPS_KEPT:
-            table_ = materialise(table_.withColumn("state", _fold(start, kept, k)), "rates")
+            table_ = materialise(table_.withColumn("state", _fold(start, kept, k, least)), "rates")
             start, kept = F.col("state"), []
-    return table_.withColumn("rate", _fold(start, kept, k)["r"]), steps
+    return table_.withColumn("rate", _fold(start, kept, k, least)["r"]), steps, short
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -163,8 +173,8 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """Every document's rate: doc_id, n_tokens, p_<domain> for the three domains, rate, copies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, domain_of_labels(table(spark, sf_dir, "labels")))
-    members = materialise(model.add(docs).select("doc_id", "n_tokens", "p"), "members")
-    out, _ = rates(members, model.domains, TARGETS)
+    members = materialise(model.add(docs).select("row.doc_id", "n_tokens", "p"), "members")
+    out, _, _ = rates(members, model.domains, TARGETS)
     place = {d: i for i, d in enumerate(model.domains)}
     p = [(F.round(F.get("p", F.lit(place[d])), 6) if d in place else F.lit(0.0)).alias(f"p_{d}") for d in sorted(TARGETS)]
     return out.select("doc_id", "n_tokens", *p, F.round("rate", 6).alias("rate"), copies(F.col("rate"), F.col("doc_id")).alias("copies"))
@@ -173,15 +183,13 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 def stage_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: plain and low documents at 95 to 5 of the words; documents repeat as their rates ask.
 
-    The budget is the least with which no domain shrinks, and each document stays once
-    at least: mixing repeats what is scarce and drops nothing.
+    The budget is the least with which no domain shrinks, and no rate is solved for
+    below 1: mixing repeats what is scarce and drops nothing. Columns of any names
+    stay as they are; without usable labels every document stays once.
     """
     labels = domain_of_labels(table(spark, sf_dir, "labels")).where("domain <> 'toxic'")
     model = fit(docs.select("doc_id", "text"), labels)
-    members = materialise(model.add(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "p"), "members")
-    _, steps = rates(members, model.domains, {"plain": 0.95, "low": 0.05}, budget=-1)
-    out = model.add(docs.select(*[f"`{c}`" for c in docs.columns])) if model.domains else docs
-    if not model.domains:
-        return docs
-    n = F.greatest(F.lit(1), copies(_fold(_start(), steps, len(model.domains))["r"], F.col("doc_id")))
-    return out.withColumn("again", F.explode(F.sequence(F.lit(1), n))).select(*[f"`{c}`" for c in docs.columns])
+    wide = materialise(model.add(docs), "members")
+    out, steps, _ = rates(wide.select("n_tokens", "p"), model.domains, {"plain": 0.95, "low": 0.05}, budget=-1, least=1.0)
+    rate = _fold(_start(), steps, len(model.domains), 1.0)["r"] if steps else F.lit(1.0)
+    return wide.select("row", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), copies(rate, F.col("row.doc_id")))))).select("row.*")

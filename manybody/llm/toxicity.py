@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import BROADCAST_ROWS, small_batches, table
+from .common import BROADCAST_ROWS, fresh, small_batches, table
 
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 7)
@@ -107,7 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
 
     The label is a grade 0..K; where it is only 0 or 1, the positive texts are graded
     1 to GRADES by thirds of the number of different toxic features in them. About max_docs labelled
-    texts are looked at (chosen by a hash of doc_id), whole.
+    texts are looked at (chosen by a hash of doc_id), whole; of a doc_id's labels the
+    greatest counts, and all rows that repeat it. At most max_features features are kept, those
+    with the greatest likelihood ratio, which bounds the model whatever the vocabulary.
     """
     small_batches(docs.sparkSession)
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("grade"))
@@ -150,14 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
     return OrdinalModel(weights, cuts)
 
 
-def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """docs with severity (expected grade) and grade (the likeliest) added; null and empty texts are graded as texts without toxic words."""
+def grade(docs: DataFrame, model: OrdinalModel, severity: str = "severity", likeliest: str = "grade") -> DataFrame:
+    """docs with the expected grade and the likeliest added (or replaced); null and empty texts are graded as texts without toxic words."""
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("severity", "grade")]
+    names = [c for c in docs.columns if c not in (severity, likeliest)]
     docs = docs.select(*[f"`{c}`" for c in names])
-    schema = StructType([*docs.schema.fields, StructField("severity", DoubleType()), StructField("grade", IntegerType())])
+    schema = StructType([*docs.schema.fields, StructField(severity, DoubleType()), StructField(likeliest, IntegerType())])
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
     def run(batches):
@@ -165,7 +167,7 @@ def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         for b in batches:
             s = own.at_least(b)
             full = np.hstack([np.ones((len(s), 1)), s, np.zeros((len(s), 1))])
-            yield pa.record_batch([*b.columns, pa.array(s.sum(axis=1)), pa.array(np.argmax(full[:, :-1] - full[:, 1:], axis=1).astype(np.int32))], names=[*names, "severity", "grade"])
+            yield pa.record_batch([*b.columns, pa.array(s.sum(axis=1)), pa.array(np.argmax(full[:, :-1] - full[:, 1:], axis=1).astype(np.int32))], names=[*names, severity, likeliest])
 
     return docs.mapInArrow(run, schema)
 
@@ -184,4 +186,5 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
 def stage_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents of expected severity TOXIC_FROM or more go; the columns stay."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return grade(docs, model).where(F.col("severity") < TOXIC_FROM).select(*[f"`{c}`" for c in docs.columns])
+    severity, likeliest = fresh(docs.columns, "severity"), fresh(docs.columns, "grade")
+    return grade(docs, model, severity, likeliest).where(F.col(severity) < TOXIC_FROM).select(*[f"`{c}`" for c in docs.columns])

@@ -32,7 +32,7 @@ def test_pieces_sum_up(monkeypatch):
     whole = li._grams([texts[0]])
     assert len(whole[0]) == 2
     monkeypatch.setattr(li, "PIECE", 100)
-    assert sum(len(p) for held in li._pieces(texts) for _, p in held) == 401
+    assert sum(len(p) - (n & 3) for held in li._pieces(texts) for _, p, n in held) == 401
 
 
 def test_stage_drops_foreign_texts(spark):
@@ -55,3 +55,19 @@ def test_copies_are_learned_from_once(spark, monkeypatch):
     copies = spark.createDataFrame([(t, "en") for t in [rows[7][0]] * 3000], "text string, lang string")
     li.fit(spark.createDataFrame(rows, "text string, lang string").unionByName(copies))
     assert seen[0] == (120, 120)
+
+
+def test_stage_columns_of_the_model_and_long_texts(spark):
+    """A column named as the model's stays as it is; n-grams across the pieces of a long text count as in one piece."""
+    rows = [(i, t, lang, "mine", 5.0) for i, (t, lang) in enumerate([("the cat and the dog are here", "en"), ("le chat et le chien sont ici", "fr")] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    out = li.stage_language(spark, docs, "").collect()
+    assert out and {(r.lang_pred, r.score) for r in out} == {("mine", 5.0)}
+    text = "ein Wort und noch eines " * 9
+    count = lambda: np.sum([np.bincount(f[f >= 0], minlength=1 << li.BITS) for held in li._pieces([text]) for f in li._grams([p for _, p, _ in held], [n for *_, n in held])[1]], axis=0)
+    whole, was = count(), li.PIECE
+    try:
+        li.PIECE = 7
+        assert (count() == whole).all()
+    finally:
+        li.PIECE = was

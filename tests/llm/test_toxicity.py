@@ -59,3 +59,9 @@ def test_edges(spark):
     assert tx.grade(odd.where("false"), model).count() == 0
     none = tx.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert tx.grade(docs, none).where(F.col("severity") >= tx.TOXIC_FROM).count() == 0
+
+
+def test_stage_keeps_columns_named_as_the_models(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("*", "'mine' AS severity", "7 AS grade")
+    out = tx.stage_toxicity(spark, docs, "/root/testdata/sf0.001")
+    assert out.columns == docs.columns and {(r.severity, r.grade) for r in out.collect()} == {("mine", 7)}
