@@ -30,7 +30,8 @@ from .common import gathered, small_batches, table
 #: Pieces of one query; and pieces that a worker keeps in each of its two generations.
 GROUP = 30_000
 KEEP = 350_000
-MEMORY = "250MB"
+#: DuckDB's memory; a worker that shares its executor has 100 MB.
+MEMORY_MB = 250
 #: Longest tokens that a pair looks aside.
 REACH = 2
 #: Rows that a query may gather over its turns; long pieces go on from where it stops.
@@ -109,13 +110,14 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, ranks: bytes, pattern: str, keep: int = KEEP, group: int = GROUP):
+    def __init__(self, ranks: bytes, pattern: str, keep: int = KEEP, group: int = GROUP, memory_mb: int = MEMORY_MB):
         import tempfile
 
         import duckdb
         import regex
 
         self.keep, self.group = keep, group
+        self.gathered, self.decoded = (x * memory_mb // MEMORY_MB for x in (GATHERED, DECODED))
         self.ranks = read_ranks(ranks)
         self.pattern = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
@@ -123,7 +125,7 @@ class Codec:
         self.known: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
         pairs = [(self.ranks[b[:k]], self.ranks[b[k:]], i) for b, i in self.ranks.items() for k in range(1, len(b)) if b[:k] in self.ranks and b[k:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "preserve_insertion_order": "false", "temp_directory": tempfile.gettempdir()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB", "preserve_insertion_order": "false", "temp_directory": tempfile.gettempdir()})
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         twice = [self.ranks.get(self.bytes_of[i] * 2) for i in merged.tolist()]
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
@@ -149,7 +151,7 @@ class Codec:
         """Ids of pieces, by their numbers; about half the square of a piece's length is what its turns gather."""
         out: dict[int, list[int]] = {}
         heap = np.cumsum([len(raw[i]) ** 2 // 2 + 1 for i in todo])
-        group = np.maximum(heap // GATHERED, np.arange(len(todo)) // self.group)
+        group = np.maximum(heap // self.gathered, np.arange(len(todo)) // self.group)
         for g in np.unique(group):
             part = [todo[i] for i in np.flatnonzero(group == g)]
             self._first(part, [self.single[np.frombuffer(raw[i], np.uint8)] for i in part], [np.arange(len(raw[i])) for i in part])
@@ -164,7 +166,7 @@ class Codec:
         for g in np.unique(group):
             state = {todo[i]: (self.single[np.frombuffer(raw[todo[i]], np.uint8)], np.arange(len(raw[todo[i]]))) for i in np.flatnonzero(group == g)}
             while state:
-                turns = max(1, GATHERED // sum(len(t) for t, _ in state.values()))
+                turns = max(1, self.gathered // sum(len(t) for t, _ in state.values()))
                 self._first(list(state), [t for t, _ in state.values()], [p for _, p in state.values()])
                 for word, turn, toks in zip(*(x for x in self.db.sql(ENCODE_LONG.format(reach=self.reach, turns=turns)).to_arrow_table().columns), strict=True):
                     tok, pos = toks.values.field("tok").to_numpy(), toks.values.field("pos").to_numpy()
@@ -197,8 +199,8 @@ class Codec:
         out = [b""] * len(lists)
         size = np.array([len(x) for x in lists])
         upto = np.cumsum(size)
-        for g in np.unique(upto // DECODED):
-            part = np.flatnonzero(upto // DECODED == g)
+        for g in np.unique(upto // self.decoded):
+            part = np.flatnonzero(upto // self.decoded == g)
             flat = np.concatenate([lists[i] for i in part]) if len(part) else np.zeros(0, np.int64)
             self._table("ids", word=np.repeat(part, size[part]), pos=np.arange(len(flat)), id=flat.astype(np.int64))
             got = self.db.sql(DECODE).to_arrow_table()
@@ -229,9 +231,25 @@ class Codec:
         return out
 
 
+    def rest(self) -> None:
+        """Gives back the memory of all pieces, and what the allocators hold beyond need."""
+        self.known, self.older = {}, {}
+        trim()
+
+
+def trim() -> None:
+    """Returns free memory to the system, where the C library can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 @lru_cache(1)
-def _codec(ranks: bytes, pattern: str, keep: int = KEEP, group: int = GROUP) -> Codec:
-    return Codec(ranks, pattern, keep, group)
+def _codec(ranks: bytes, pattern: str, keep: int = KEEP, group: int = GROUP, memory_mb: int = MEMORY_MB) -> Codec:
+    return Codec(ranks, pattern, keep, group, memory_mb)
 
 
 #: Rows that are encoded together; more rows share more pieces, and hold more memory.
@@ -247,10 +265,10 @@ def _run(docs: DataFrame, path: str, pattern: str, rows_of, schema: str, names:
     with open(path, "rb") as f:  # a file of fixed size on the driver; the executors get its bytes
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    keep, group, together = (KEEP // 6, GROUP // 3, TOGETHER_BYTES // 4) if small else (KEEP, GROUP, TOGETHER_BYTES)
+    settings, together = ((KEEP // 6, GROUP // 6, 100), TOGETHER_BYTES // 8) if small else ((KEEP, GROUP, MEMORY_MB), TOGETHER_BYTES)
 
     def run(batches):
-        codec = _codec(sent.value, pattern, keep, group)
+        codec = _codec(sent.value, pattern, *settings)
         for b in gathered(batches, together):
             text = b.column("text")
             if small:  # the stage before repeats documents, and leaves the repeats side by side
@@ -261,6 +279,10 @@ def _run(docs: DataFrame, path: str, pattern: str, rows_of, schema: str, names:
                 rows = rows_of(codec, codec.encode(text.to_pylist()))
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.record_batch([b.column("doc_id"), *map(pa.array, cols)], names=["doc_id", *names])
+            if small:
+                trim()
+        if small:  # the worker waits for other stages' tasks
+            codec.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
