@@ -1,38 +1,39 @@
-"""Sums of Laplace potentials of many points in linear time, by multipole expansions on an octree.
+"""Sums of potentials of many points in linear time, by expansions on an octree.
 
-`LaplaceEngine.build` makes the tree and its lists once; `evaluate` takes charges
-(or dipoles) keyed by source and returns potentials by target.
+`Engine.build` makes the tree and its lists once; `evaluate` takes strengths keyed by
+source and returns results by target. The kernel (`operators.kernels`) has the
+mathematics; here is what moves where:
 
-Spark moves rows, NumPy multiplies: each of these is one shuffle.
 - Multipoles of ALL boxes at once: a leaf's multipole is carried up its chain of
   parents inside the task that made it, partial sums are merged by box. The
   translation is exact, so no loop over levels is needed.
 - M2L by families: a parent's children's multipoles are one row, sent to the
-  parent's 26 neighbours; the far pairs of two families are worked out there. So
-  a multipole is moved 27/8 times and not up to 189.
-- Locals likewise reach leaves in one step: what a leaf's ancestors hold is
-  looked up by key and carried down the chain in the task that evaluates the leaf.
-- Points of a leaf are packed in rows of at most PACK points, so a crowded leaf is
-  spread over tasks.
+  parent's 26 neighbours; the far pairs of the families of an Arrow batch are grouped
+  by offset, one matrix product each. So a multipole is moved 27/8 times, not 189.
+- Locals move down level by level, each to its children.
+- Near points likewise go to families of leaves: a leaf's points are sent to a parent
+  once, with the list of its children that need them.
+- Points of a leaf are packed in rows of at most about PACK points, and the packs of a
+  crowded leaf go to tasks of their own.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import harmonics as h
 from ..functions import morton as mk
-from ..work import saved
+from ..functions.harmonics import far_offsets
+from ..operators.kernels import Helmholtz, Kernel, Laplace, Yukawa, degree_for
+from ..work import dealt, saved
 from . import tree
 
 PACK = 512
-#: Degree by the relative L2 error of the potential that it reaches.
-DEGREES = {1e-3: 5, 1e-4: 7, 1e-5: 9, 1e-6: 12, 1e-7: 15, 1e-8: 19}
+#: Place of each far offset (7 x 7 x 7 cells around 0) among the far matrices; -1: near.
+_PLACE = np.full((7, 7, 7), -1)
+_PLACE[tuple((far_offsets() + 3).T)] = np.arange(316)
 
 
 def _index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,70 +47,34 @@ def _index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lev, out >> (mk.DEPTH - lev)[..., None]
 
 
-def _leaf_frame(keys: np.ndarray, domain) -> tuple[np.ndarray, np.ndarray]:
+def _centres(keys: np.ndarray, domain) -> np.ndarray:
     lev, ijk = _index(keys)
-    r = domain[3] / 2.0 ** (lev + 1)
-    return np.array(domain[:3]) + (2 * ijk + 1) * r[..., None], r
-
-
-def _parent(key: int) -> tuple[int, int]:
-    """Parent and octant."""
-    lev = key & mk.LEVEL_MASK
-    at = mk.LEVEL_BITS + 3 * (mk.DEPTH - lev)
-    return (key & ~(7 << at)) - 1, key >> at & 7
-
-
-def _strength(points: np.ndarray, vectors: int, dipole: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Charges (n, m), and moments (n, m, 3) if there are dipoles, of packed rows."""
-    q = points[:, 3 : 3 + vectors]
-    return q, points[:, 3 + vectors :].reshape(len(points), vectors, 3) if dipole else None
-
-
-def _moments(x, q, d, p: int, kind: str) -> np.ndarray:
-    """Expansion (m, size) of scaled points: multipole from R, local from I; d scaled by the radius."""
-    if d is None:
-        return q.T @ h.stored(np.conj((h.regular if kind == "M" else h.irregular)(p, x)), p)
-    value, grad = (h.regular_gradient if kind == "M" else h.irregular_gradient)(p, x)
-    out = q.T @ h.stored(np.conj(value), p)
-    for a in range(3):
-        out = out + d[:, :, a].T @ h.stored(np.conj(grad[a]), p)
-    return out
-
-
-def _near(x, y, q, d, gradients: bool) -> np.ndarray:
-    """Direct sums (targets, m, 1 or 4) of one block."""
-    w = x[:, None, :] - y[None]
-    r2 = (w * w).sum(axis=-1)
-    with np.errstate(divide="ignore"):
-        inv = np.where(r2 > 0, 1 / np.sqrt(r2), 0.0)
-    inv3 = inv**3
-    phi = inv @ q
-    out = [phi]
-    if gradients:
-        out += [-(inv3 * w[..., a]) @ q for a in range(3)]
-    if d is not None:
-        dot = np.einsum("tsa,sma->tsm", w, d)
-        out[0] = out[0] + np.einsum("ts,tsm->tm", inv3, dot)
-        if gradients:
-            inv5 = inv3 * inv * inv
-            for a in range(3):
-                out[a + 1] = out[a + 1] + inv3 @ d[:, :, a] - 3 * np.einsum("ts,tsm->tm", inv5 * w[..., a], dot)
-    return np.stack(out, axis=-1)
-
-
-class LaplaceEngine:
-    """Settings: degree p (or tolerance), max_points_per_leaf, max_level, gradients, vectors, dipoles, domain."""
-
-    def __init__(self, p: int | None = None, tolerance: float = 1e-3, max_points_per_leaf: int = 64, max_level: int = mk.DEPTH, min_level: int = 0, gradients: bool = False, vectors: int = 1, dipole: bool = False, domain: tuple[float, ...] | None = None):
-        if p is None:
-            p = next(v for k, v in DEGREES.items() if k <= tolerance)
-        if not 0 <= p <= 20 or vectors < 1 or not 0 <= max_level <= mk.DEPTH:
-            raise ValueError("p must be 0..20, vectors at least 1, max_level 0..16")
-        self.p, self.cap, self.max_level, self.min_level = p, max_points_per_leaf, max_level, min_level
-        self.gradients, self.vectors, self.dipole, self.domain = gradients, vectors, dipole, domain
-        self.size = (p + 1) ** 2
-
-    def build(self, sources: DataFrame, targets: DataFrame) -> "LaplaceEngine":
+    return np.array(domain[:3]) + (2 * ijk + 1) * (domain[3] / 2.0 ** (lev + 1))[..., None]
+
+
+def _parents(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parents and octants of keys other than the root."""
+    at = mk.LEVEL_BITS + 3 * (mk.DEPTH - (keys & mk.LEVEL_MASK))
+    return (keys & ~(7 << at)) - 1, keys >> at & 7
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _rows(keys, values) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(keys, pa.int64()), pa.array(list(values), pa.list_(pa.float64()))], names=["key", "c"])
+
+
+class Engine:
+    """Settings: kernel, max_points_per_leaf, max_level, min_level, domain (a cube: corner and three equal sides)."""
+
+    def __init__(self, kernel: Kernel, max_points_per_leaf: int = 64, max_level: int = mk.DEPTH, min_level: int = 0, domain: tuple[float, ...] | None = None):
+        if not 0 <= max_level <= mk.DEPTH or max_points_per_leaf < 1:
+            raise ValueError("max_level must be 0..16, max_points_per_leaf at least 1")
+        self.kernel, self.cap, self.max_level, self.min_level, self.domain = kernel, max_points_per_leaf, max_level, min_level, domain
+
+    def build(self, sources: DataFrame, targets: DataFrame) -> "Engine":
         """sources(source_id, x, y, z) and targets(point_id, x, y, z): makes domain, tree and lists.
 
         One tree holds both. Null coordinates are an error, as are points outside a given domain.
@@ -118,143 +83,208 @@ class LaplaceEngine:
         own = tree.domain_of(s, t)
         if self.domain is None:
             self.domain = own
-        elif any(a <= b or a + w >= b + v for a, b, w, v in zip(own[:3], self.domain[:3], own[3:], self.domain[3:], strict=True)):
-            raise ValueError("a point lies outside the domain")
+        else:
+            tree.check_domain(self.domain, own)
         if s.where("x IS NULL OR y IS NULL OR z IS NULL").union(t.where("x IS NULL OR y IS NULL OR z IS NULL")).limit(1).count():
             raise ValueError("a coordinate is null")
+        self.kernel.side = self.domain[3]
         s, t = tree.keyed(s, self.domain), tree.keyed(t, self.domain)
         keys = saved(s.select("key16").union(t.select("key16")).distinct(), "keys")
         self.boxes = saved(tree.balanced(tree.levels(keys, self.cap, self.max_level, self.min_level)), "boxes")
+        self.depth = self.boxes.agg(F.max(mk.level("key"))).first()[0]
         self.lists = saved(tree.lists(self.boxes), "lists")
         self.sources = saved(tree.leaf_of(s, self.boxes).drop("key16"), "sources")
         self.targets = saved(tree.leaf_of(t, self.boxes).drop("key16"), "targets")
         return self
 
     def list_sizes(self) -> DataFrame:
+        """Pairs of each interaction list."""
         return self.lists.groupBy("kind").agg(F.count("*").alias("pairs"))
 
+    def exchanged(self) -> DataFrame:
+        """How many boxes' expansions (V, W) and points (U, X) cross from one box to another, by list."""
+        n = self.sources.groupBy("leaf").agg(F.count("*").alias("n"))
+        near = self.lists.where("kind IN ('U', 'X')").join(n, F.col("source") == F.col("leaf")).groupBy("kind").agg(F.countDistinct("source").alias("boxes"), F.sum("n").alias("moved"))
+        return near.unionByName(self.lists.where("kind IN ('V', 'W')").groupBy("kind").agg(F.countDistinct("source").alias("boxes"), F.count("*").alias("moved")))
+
     def _packed(self, points: DataFrame, key: str, columns: list) -> DataFrame:
         """leaf, chunk, ids (longs), values (doubles by row): at most about PACK points a row."""
         n = points.groupBy("leaf").agg(F.ceil(F.count("*") / PACK).cast("int").alias("parts"))
         p = points.join(n, "leaf").select("leaf", F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("chunk"), F.struct(F.col(key).alias("id"), F.array(*columns).alias("v")).alias("row"))
         return p.groupBy("leaf", "chunk").agg(F.sort_array(F.collect_list("row")).alias("rows")).select("leaf", "chunk", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("values"))
 
+    def _sources_with(self, strengths: DataFrame) -> DataFrame:
+        cols = self.kernel.parameters
+        given = strengths.select("source_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in strengths.columns else F.lit(0.0).alias(c) for c in cols])
+        if given.groupBy("source_id").count().where("count > 1").limit(1).count():
+            raise ValueError("a source has two strengths")
+        s = self.sources.join(given, "source_id", "left")
+        return self._packed(s, "source_id", ["x", "y", "z", *[F.coalesce(c, F.lit(0.0)) for c in cols]])
+
     def multipoles(self, packed: DataFrame) -> DataFrame:
-        """key, c: the multipoles (vectors x size, flat) of all boxes with sources."""
-        p, domain, m, size, dip = self.p, self.domain, self.vectors, self.size, self.dipole
-        width = 3 + m * (4 if dip else 1)
+        """key, c: the multipoles (vectors x size, flat) of all boxes with sources, from their packed points and strengths."""
+        kernel, domain, width = self.kernel, self.domain, 3 + len(self.kernel.parameters)
+        m, size = kernel.vectors, kernel.size
 
         def run(batches):
             for b in batches:
-                total: dict[int, np.ndarray] = {}
                 keys = b.column("leaf").to_numpy()
-                centre, r = _leaf_frame(keys, domain)
-                for k, key in enumerate(keys):
+                centre, made = _centres(keys, domain), {}
+                for k, key in enumerate(keys.tolist()):
                     pts = b.column("values")[k].values.to_numpy().reshape(-1, width)
-                    q, d = _strength(pts, m, dip)
-                    c = _moments((pts[:, :3] - centre[k]) / r[k], q, None if d is None else d / r[k], p, "M")
-                    total[int(key)] = total.get(int(key), 0) + c
-                for lev in range(mk.DEPTH, 0, -1):
-                    for key in [x for x in total if x & mk.LEVEL_MASK == lev]:
-                        up, o = _parent(key)
-                        total[up] = total.get(up, 0) + total[key] @ h.up_matrices(p)[o].T
-                yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array([v.ravel() for v in total.values()], pa.list_(pa.float64()))], names=["key", "c"])
+                    made[key] = made.get(key, 0) + kernel.expand("M", key & mk.LEVEL_MASK, pts[:, :3] - centre[k], pts[:, 3:])
+                if not made:
+                    continue
+                total = {}  # level: keys and their sums
+                for lev in range(mk.DEPTH, -1, -1):
+                    own = [key for key in made if key & mk.LEVEL_MASK == lev]
+                    at, c = np.array(own, np.int64), np.array([made[key] for key in own]).reshape(-1, m, size)
+                    if lev + 1 in total:
+                        low, lc = total[lev + 1]
+                        up, octant = _parents(low)
+                        moved = np.empty_like(lc)
+                        for o in range(8):
+                            if (octant == o).any():
+                                moved[octant == o] = kernel.move(lc[octant == o], kernel.up(lev + 1)[o])
+                        at, c = np.concatenate([at, up]), np.concatenate([c, moved])
+                    if len(at):
+                        keys_, inverse = np.unique(at, return_inverse=True)
+                        sums = np.zeros((len(keys_), m, size))
+                        np.add.at(sums, inverse, c)
+                        total[lev] = keys_, sums
+                for keys_, sums in total.values():
+                    yield _rows(keys_, sums.reshape(len(keys_), -1))
 
         return _merged(packed.select("leaf", "values").mapInArrow(run, "key long, c array<double>"), m * size)
 
+    def locals_(self, poles: DataFrame, packed: DataFrame) -> DataFrame:
+        """key, c: the locals of all boxes of level 2 and below, their ancestors' included, that are above targets."""
+        kernel, m, size = self.kernel, self.kernel.vectors, self.kernel.size
+        wanted = saved(self.targets.select("leaf").distinct().select(F.explode(mk.ancestors(F.col("leaf"))).alias("key")).distinct(), "wanted")
+        own = saved(self._far(poles, packed, wanted), "far")
+        levels = [saved(own.where(mk.level("key") == 2), "locals")] if self.depth >= 2 else []
+
+        def run(batches):
+            for b in batches:
+                keys, c = b.column("key").to_numpy(), _flat(b.column("c")).reshape(-1, m, size)
+                octant = _parents(keys)[1]
+                for o in range(8):
+                    at = np.flatnonzero(octant == o)
+                    if len(at):
+                        moved = kernel.move(c[at], kernel.down(int(keys[at[0]]) & mk.LEVEL_MASK)[o])
+                        yield _rows(keys[at], moved.reshape(len(at), -1))
+
+        for lev in range(3, self.depth + 1):
+            children = wanted.where(mk.level("key") == lev).select("key", mk.parent("key").alias("up"))
+            moved = children.join(levels[-1].withColumnRenamed("key", "up"), "up").select("key", "c").mapInArrow(run, "key long, c array<double>")
+            levels.append(saved(_merged(moved.unionByName(own.where(mk.level("key") == lev)), m * size), "locals"))
+        out = own.where("false")
+        for x in levels:
+            out = out.unionByName(x)
+        return out
+
     def evaluate(self, strengths: DataFrame) -> DataFrame:
-        """Potentials (and gradients) of all targets.
+        """Results of all targets: point_id and the kernel's outputs.
 
-        strengths: source_id with q (m = 1) or q0..q(m-1), and with dipoles mx, my, mz
-        (m = 1) or mx0, ..., mz(m-1). A source without strength counts as 0. Returns
-        point_id, phi (gx, gy, gz), numbered by vector if m > 1.
+        strengths: source_id and the kernel's parameters (a column that is absent counts as
+        0, as do nulls and sources without strengths; a repeated source_id is an error).
         """
-        m, size, p, domain, grad, dip = self.vectors, self.size, self.p, self.domain, self.gradients, self.dipole
-        tag = [""] if m == 1 else [str(v) for v in range(m)]
-        cols = [f"q{v}" for v in tag] + ([f"m{a}{v}" for v in tag for a in "xyz"] if dip else [])
-        s = self.sources.join(strengths.select("source_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in strengths.columns else F.lit(0.0).alias(c) for c in cols]), "source_id", "left")
-        width = 3 + len(cols)
-        packed = saved(self._packed(s, "source_id", ["x", "y", "z", *[F.coalesce(c, F.lit(0.0)) for c in cols]]), "packed")
+        kernel, domain = self.kernel, self.domain
+        width, m, size = 3 + len(kernel.parameters), kernel.vectors, kernel.size
+        packed = saved(self._sources_with(strengths), "packed")
         tpacked = saved(self._packed(self.targets, "point_id", [F.col(c) for c in "xyz"]), "targets")
         poles = saved(self.multipoles(packed), "multipoles")
-        local = saved(self._locals(poles, packed, tpacked, width), "locals")
-        # what a target leaf needs, one row each: locals of its ancestors, multipoles of W, points of U and itself
-        blocks = tpacked.select("leaf", "chunk")
-        anc = blocks.select("leaf", "chunk", F.explode(mk.ancestors(F.col("leaf"))).alias("key")).join(local, "key").select("leaf", "chunk", F.lit("L").alias("kind"), "key", "c")
-        w = self.lists.where("kind = 'W'").select(F.col("target").alias("leaf"), F.col("source").alias("key")).join(poles, "key").join(blocks, "leaf").select("leaf", "chunk", F.lit("M").alias("kind"), "key", "c")
-        near = self.lists.where("kind = 'U'").select("target", "source").unionByName(self.boxes.where("is_leaf").select(F.col("key").alias("target"), F.col("key").alias("source")))
-        u = near.select(F.col("target").alias("leaf"), F.col("source").alias("key")).join(packed.select(F.col("leaf").alias("key"), F.col("values").alias("c")), "key").join(blocks, "leaf").select("leaf", "chunk", F.lit("P").alias("kind"), "key", "c")
-        own = tpacked.select("leaf", "chunk", F.lit("A").alias("kind"), F.lit(0).cast("long").alias("key"), F.col("values").alias("c"), "ids")
-        none = F.lit(None).cast("array<long>").alias("ids")
-        rows = own.unionByName(anc.select("*", none)).unionByName(w.select("*", none)).unionByName(u.select("*", none))
-        rows = rows.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "kind", "key", F.size("c"))
-        parts = 4 if grad else 1
-        names = [f"{n}{v}" for v in tag for n in (["phi", "gx", "gy", "gz"] if grad else ["phi"])]
+        local = self.locals_(poles, packed)
+        family = lambda c: F.coalesce(mk.parent(c), F.lit(0).cast("long"))
+        # per family of leaves and number of their chunks: targets (A), locals (L), multipoles of W (M), points of U and themselves (P)
+        own = tpacked.select(family("leaf").alias("to"), "chunk", F.lit("A").alias("kind"), F.col("leaf").alias("key"), F.array("leaf").alias("on"), F.col("values").alias("c"), "ids")
+        blocks = own.select("to", "chunk").distinct()
+        need = self.lists.where("kind IN ('U', 'W')").select("kind", "target", "source").unionByName(self.boxes.where("is_leaf").select(F.lit("U").alias("kind"), F.col("key").alias("target"), F.col("key").alias("source")))
+        need = need.join(self.targets.select(F.col("leaf").alias("target")).distinct(), "target", "left_semi")
+        need = need.groupBy(family("target").alias("to"), "kind", F.col("source").alias("key")).agg(F.sort_array(F.collect_list("target")).alias("on"))  # at most 8
+        u = need.where("kind = 'U'").join(packed.select(F.col("leaf").alias("key"), F.col("values").alias("c")), "key").withColumn("kind", F.lit("P"))
+        w = need.where("kind = 'W'").join(poles, "key").withColumn("kind", F.lit("M"))
+        down = local.join(tpacked.select(F.col("leaf").alias("key")).distinct(), "key", "left_semi").select(family("key").alias("to"), F.lit("L").alias("kind"), "key", F.array("key").alias("on"), "c")
+        names = ["to", "kind", "key", "on", "c"]
+        more = u.select(names).unionByName(w.select(names)).unionByName(down.select(names)).join(blocks, "to").withColumn("ids", F.lit(None).cast("array<long>"))
+        columns = ["to", "chunk", "kind", "key", "on", "c", "ids"]
+        rows = dealt(own.select(columns).unionByName(more.select(columns)), "to", "chunk").sortWithinPartitions("to", "chunk", "kind", "key", F.size("c"))
 
         def run(batches):
-            held = None
+            block, at = [], None  # the block's targets: leaf, ids, x, sums
 
             def finish():
-                out = held["out"] / (4 * np.pi)
-                return pa.record_batch([pa.array(held["ids"], pa.int64()), *[pa.array(out[:, v, g]) for v in range(m) for g in range(parts)]], names=["point_id", *names])
-
-            def expand(c, x, r, kind):
-                value, g = (h.irregular_gradient if kind == "M" else h.regular_gradient)(p, x) if grad else ((h.irregular if kind == "M" else h.regular)(p, x), None)
-                got = [h.weights(value, p) @ c.T / r]
-                if grad:
-                    got += [h.weights(g[a], p) @ c.T / (r * r) for a in range(3)]
-                return np.stack(got, axis=-1)
+                for _, ids, _, out in block:
+                    yield pa.record_batch([pa.array(ids, pa.int64()), *map(pa.array, kernel.result(out))], names=["point_id", *kernel.outputs])
 
             for b in batches:
-                for leaf, chunk, kind, key, c, ids in zip(*(b.column(n) for n in ("leaf", "chunk", "kind", "key", "c", "ids")), strict=True):
-                    leaf, kind, key, c = leaf.as_py(), kind.as_py(), key.as_py(), c.values.to_numpy()
+                cols = [b.column(n) for n in columns]
+                ends = {"c": cols[5].offsets.to_numpy(), "on": cols[4].offsets.to_numpy()}
+                flat, leaves = cols[5].values.to_numpy(), cols[4].values.to_numpy()
+                for i, (to, chunk, kind, key) in enumerate(zip(*(c.to_pylist() for c in cols[:4]), strict=True)):
+                    c = flat[ends["c"][i] : ends["c"][i + 1]]
+                    if at != (to, chunk):
+                        yield from finish()
+                        block, at = [], (to, chunk)
                     if kind == "A":
-                        if held:
-                            held = _with_locals(held, expand, p, domain, m, size)
-                            yield finish()
                         x = c.reshape(-1, 3)
-                        held = {"leaf": leaf, "ids": ids.values.to_numpy(), "x": x, "out": np.zeros((len(x), m, parts)), "chain": {}}
-                    elif kind == "L":
-                        held["chain"][key] = c.reshape(m, size)
-                    elif kind == "M":
-                        centre, r = _leaf_frame(np.array([key]), domain)
-                        held["out"] += expand(c.reshape(m, size), (held["x"] - centre[0]) / r[0], r[0], "M")
-                    else:
+                        block.append((key, cols[6][i].values.to_numpy(), x, 0))
+                        continue
+                    on = set(leaves[ends["on"][i] : ends["on"][i + 1]].tolist())
+                    chosen = [k for k, t in enumerate(block) if t[0] in on]
+                    if not chosen:
+                        continue
+                    x = np.concatenate([block[k][2] for k in chosen])
+                    if kind == "P":
                         pts = c.reshape(-1, width)
-                        q, d = _strength(pts, m, dip)
-                        held["out"] += _near(held["x"], pts[:, :3], q, d, grad)
-            if held:
-                held = _with_locals(held, expand, p, domain, m, size)
-                yield finish()
-
-        schema = ", ".join(["point_id long", *[f"{n} double" for n in names]])
-        return rows.select("leaf", "chunk", "kind", "key", "c", "ids").mapInArrow(run, schema)
-
-    def _locals(self, poles: DataFrame, packed: DataFrame, tpacked: DataFrame, width: int) -> DataFrame:
-        """key, c: what V and X lists give each box itself (not yet its ancestors'), of boxes above targets."""
-        p, m, size, domain, dip = self.p, self.vectors, self.size, self.domain, self.dipole
-        wanted = saved(tpacked.select(F.explode(mk.ancestors(F.col("leaf"))).alias("key")).distinct(), "wanted")
+                        got = kernel.near(x, pts[:, :3], pts[:, 3:])
+                    else:
+                        got = kernel.evaluate(kind, key & mk.LEVEL_MASK, x - _centres(np.array([key]), domain)[0], c.reshape(m, size))
+                    lo = 0
+                    for k in chosen:
+                        leaf, ids, y, out = block[k]
+                        block[k] = leaf, ids, y, out + got[lo : lo + len(y)]
+                        lo += len(y)
+            yield from finish()
+
+        return rows.mapInArrow(run, ", ".join(["point_id long", *[f"{n} double" for n in kernel.outputs]]))
+
+    def _far(self, poles: DataFrame, packed: DataFrame, wanted: DataFrame) -> DataFrame:
+        """key, c: what V and X lists give each wanted box itself (not its ancestors')."""
+        kernel, domain = self.kernel, self.domain
+        m, size, width = kernel.vectors, kernel.size, 3 + len(kernel.parameters)
         deep = poles.where(mk.level("key") >= 2).select(mk.parent("key").alias("family"), "key", "c")
         family = deep.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("key", "c"))).alias("kids"))  # at most 8
         sent = family.select(F.explode(mk.neighbours("family")).alias("to"), F.col("family").alias("of"), "kids")
         mine = wanted.where(mk.level("key") >= 2).select(mk.parent("key").alias("to"), "key").groupBy("to").agg(F.sort_array(F.collect_list("key")).alias("own"))
-        both = sent.join(mine, "to").repartition("to").sortWithinPartitions("to", "of")
+        both = dealt(sent.join(mine, "to"), "to").sortWithinPartitions(mk.level("to"), "to", "of")
 
         def far(batches):
-            places, mats = h.far_matrices(p)
             for b in batches:
-                total: dict[int, np.ndarray] = {}
-                for own, kids in zip(b.column("own"), b.column("kids"), strict=True):
-                    targets = own.values.to_numpy()
-                    sources = kids.values.field("key").to_numpy()
-                    c = kids.values.field("c").flatten().to_numpy().reshape(len(sources), m, size)
-                    (_, ti), (_, si) = _index(targets), _index(sources)
-                    for t, i in zip(targets, ti, strict=True):
-                        for j, s in enumerate(si):
-                            k = places.get(tuple((i - s).tolist()))
-                            if k is not None:
-                                total[int(t)] = total.get(int(t), 0) + c[j] @ mats[k].T
-                yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array([v.ravel() for v in total.values()], pa.list_(pa.float64()))], names=["key", "c"])
+                if not b.num_rows:
+                    continue
+                own, kids = b.column("own"), b.column("kids")
+                n_own, n_kids = (np.diff(c.offsets.to_numpy()) for c in (own, kids))
+                targets, sources = own.flatten().to_numpy(), kids.flatten().field("key").to_numpy()
+                c = _flat(kids.flatten().field("c")).reshape(-1, m, size)
+                # all pairs (target, source) of each row
+                row = np.repeat(np.arange(len(own)), n_own * n_kids)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n_own * n_kids) - n_own * n_kids, n_own * n_kids)
+                t = np.repeat(np.cumsum(n_own) - n_own, n_own * n_kids) + place // n_kids[row]
+                s = np.repeat(np.cumsum(n_kids) - n_kids, n_own * n_kids) + place % n_kids[row]
+                lev, ijk = _index(targets)
+                apart = _PLACE[tuple((ijk[t] - _index(sources)[1][s] + 3).T)]
+                on = apart >= 0
+                t, s, apart = t[on], s[on], apart[on]
+                keys, into = np.unique(targets, return_inverse=True)
+                total = np.zeros((len(keys), m, size))
+                order = np.lexsort((apart, lev[t]))
+                t, s, apart = t[order], s[order], apart[order]
+                group = lev[t] * 316 + apart
+                cuts = np.flatnonzero(np.diff(group, prepend=-1))
+                for lo, hi in zip(cuts, np.append(cuts[1:], len(group)), strict=True):  # a target has one source at an offset
+                    total[into[t[lo:hi]]] += kernel.move(c[s[lo:hi]], kernel.far(int(lev[t[lo]]))[apart[lo]])
+                yield _rows(keys, total.reshape(len(keys), -1))
 
         v = both.select("own", "kids").mapInArrow(far, "key long, c array<double>")
         x = self.lists.where("kind = 'X'").join(wanted.withColumnRenamed("key", "target"), "target").join(packed.select(F.col("leaf").alias("source"), "values"), "source")
@@ -262,61 +292,51 @@ class LaplaceEngine:
         def close(batches):
             for b in batches:
                 keys = b.column("target").to_numpy()
-                centre, r = _leaf_frame(keys, domain)
-                out = []
-                for k in range(len(keys)):
+                centre, out = _centres(keys, domain), []
+                for k, key in enumerate(keys.tolist()):
                     pts = b.column("values")[k].values.to_numpy().reshape(-1, width)
-                    q, d = _strength(pts, m, dip)
-                    out.append(_moments((pts[:, :3] - centre[k]) / r[k], q, None if d is None else d / r[k], p, "L").ravel())
-                yield pa.record_batch([pa.array(keys), pa.array(out, pa.list_(pa.float64()))], names=["key", "c"])
+                    out.append(kernel.expand("L", key & mk.LEVEL_MASK, pts[:, :3] - centre[k], pts[:, 3:]).ravel())
+                yield _rows(keys, out)
 
         return _merged(v.unionByName(x.select("target", "values").mapInArrow(close, "key long, c array<double>")), m * size)
 
 
-def _with_locals(held, expand, p, domain, m, size):
-    """Carries the ancestors' locals down to the leaf and evaluates them."""
-    chain = []
-    key = held["leaf"]
-    while True:
-        chain.append(key)
-        if key == 0:
-            break
-        key = _parent(key)[0]
-    c = np.zeros((m, size))
-    for key in reversed(chain):
-        if key != 0:
-            c = c @ h.down_matrices(p)[_parent(key)[1]].T
-        if key in held["chain"]:
-            c = c + held["chain"][key]
-    centre, r = _leaf_frame(np.array([held["leaf"]]), domain)
-    held["out"] += expand(c, (held["x"] - centre[0]) / r[0], r[0], "L")
-    return held
+def LaplaceEngine(p: int | None = None, tolerance: float = 1e-3, gradients: bool = False, vectors: int = 1, dipole: bool = False, **tree_settings) -> Engine:
+    """An engine for charges q (q0, q1, ... for several vectors) and with dipole moments mx, my, mz."""
+    return Engine(Laplace(degree_for(tolerance) if p is None else p, vectors, gradients, dipole), **tree_settings)
+
+
+def HelmholtzEngine(k: complex, p: int | None = None, tolerance: float = 1e-3, gradients: bool = False, vectors: int = 1, **tree_settings) -> Engine:
+    """An engine for complex charges q_re, q_im and the wave number k."""
+    return Engine(Helmholtz(k, p, tolerance, vectors, gradients), **tree_settings)
+
+
+def YukawaEngine(kappa: float, p: int | None = None, tolerance: float = 1e-3, gradients: bool = False, vectors: int = 1, **tree_settings) -> Engine:
+    """An engine for real charges q screened with kappa."""
+    return Engine(Yukawa(kappa, p, tolerance, vectors, gradients), **tree_settings)
 
 
 def _merged(parts: DataFrame, size: int) -> DataFrame:
     """Sums of the arrays of a key: parts in the order of their values, so the result doesn't depend on arrival."""
-    rows = parts.repartition("key").sortWithinPartitions("key", "c")
+    rows = dealt(parts, "key").sortWithinPartitions("key", "c")
 
     def run(batches):
-        key, total = None, None
-        keys, values = [], []
+        last = None  # the key that may go on in the next batch
         for b in batches:
-            c = b.column("c").flatten().to_numpy().reshape(-1, size)
-            for k, v in zip(b.column("key").to_pylist(), c, strict=True):
-                if k != key:
-                    if total is not None:
-                        keys.append(key)
-                        values.append(total)
-                    key, total = k, v.copy()
+            if not b.num_rows:
+                continue
+            keys, c = b.column("key").to_numpy(), _flat(b.column("c")).reshape(-1, size)
+            begin = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+            sums, found = np.add.reduceat(c, begin, axis=0), keys[begin]
+            if last is not None:
+                if last[0] == found[0]:
+                    sums[0] += last[1]
                 else:
-                    total += v
-            if len(keys) > 500:
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(values, pa.list_(pa.float64()))], names=["key", "c"])
-                keys, values = [], []
-        if total is not None:
-            keys.append(key)
-            values.append(total)
-        if keys:
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(values, pa.list_(pa.float64()))], names=["key", "c"])
+                    yield _rows([last[0]], [last[1]])
+            last = found[-1], sums[-1]
+            if len(found) > 1:
+                yield _rows(found[:-1], sums[:-1])
+        if last is not None:
+            yield _rows([last[0]], [last[1]])
 
     return rows.mapInArrow(run, "key long, c array<double>")

@@ -32,16 +32,38 @@ def keyed(points: DataFrame, domain, name: str = "key16") -> DataFrame:
     return points.withColumn(name, mk.point_key("x", "y", "z", domain))
 
 
+def check_domain(domain, own) -> None:
+    """A given domain must be a finite cube that holds the extents' cube ``own`` but for its margin of 2^-16."""
+    if any(v != v or abs(v) == float("inf") for v in domain) or domain[3] <= 0 or not domain[3] == domain[4] == domain[5]:
+        raise ValueError("the domain must be a finite cube")
+    slack = own[3] * 2.0**-17
+    if any(a + slack < b or a + w - slack > b + v for a, b, w, v in zip(own[:3], domain[:3], own[3:], domain[3:], strict=True)):
+        raise ValueError("a point lies outside the domain")
+
+
+#: Levels that are counted together: above the first slab's bottom partial sums leave few rows to shuffle.
+SLAB = 5
+
+
 def levels(keys: DataFrame, cap: int, max_level: int = mk.DEPTH, min_level: int = 0) -> DataFrame:
     """Boxes of the adaptive tree over keys(key16): key, level, is_leaf.
 
     A box is split while it holds more than cap distinct level-16 keys and is above
     max_level (or above min_level and not empty); a split box has all eight children.
+    Slabs of SLAB levels are counted from the top; only keys in boxes that are split go on.
     """
-    counts = keys.select("key16").distinct().select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_level)), lambda v: mk.ancestor(F.col("key16"), v))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    split = counts.where(((F.col("n") > cap) & (mk.level("key") < max_level)) | (mk.level("key") < min_level)).select("key")
-    split = saved(split, "split")
-    return _nodes(split)
+    live = keys.select("key16").distinct()
+    split = None
+    for lo in range(0, max_level, SLAB):
+        hi = min(lo + SLAB, max_level) - 1
+        counts = live.select(F.explode(F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda v: mk.ancestor(F.col("key16"), v))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+        part = saved(counts.where((F.col("n") > cap) | (mk.level("key") < min_level)).select("key"), "split")
+        split = part if split is None else split.unionByName(part)
+        last = part.where(mk.level("key") == hi)
+        if hi + 1 < max_level and not last.limit(1).count():
+            break
+        live = live.withColumn("key", mk.ancestor("key16", hi)).join(last, "key", "left_semi").select("key16")
+    return _nodes(keys.select(F.lit(0).cast("long").alias("key")).where("false") if split is None else split)
 
 
 def _nodes(split: DataFrame) -> DataFrame:
@@ -56,23 +78,26 @@ def balanced(boxes: DataFrame) -> DataFrame:
     """The least refinement of boxes in which touching leaves (26 directions) differ by one level at most.
 
     From the deepest level up, the neighbours of every split box must exist, so
-    their parents are split as well: one small join-free pass a level.
+    their parents are split as well: a small join-free pass a level over that level's boxes.
     """
     split = saved(boxes.where("NOT is_leaf").select("key", "level"), "split")
     deepest = split.agg(F.max("level")).first()[0]
-    for lev in range(deepest or 0, 0, -1):
-        need = split.where(F.col("level") == lev).select(F.explode(mk.neighbours("key")).alias("key")).select(mk.parent("key").alias("key"), F.lit(lev - 1).cast("int").alias("level")).distinct()
-        split = saved(split.unionByName(need).distinct(), "split")
-    return _nodes(split.select("key"))
+    if deepest is None:
+        return _nodes(split.select("key"))
+    out, need = None, None
+    for lev in range(deepest, -1, -1):
+        level = split.where(F.col("level") == lev).select("key")
+        level = level if need is None else saved(level.unionByName(need).distinct(), "split")
+        out = level if out is None else out.unionByName(level)
+        if lev:
+            need = level.select(F.explode(mk.neighbours("key")).alias("key")).select(mk.parent("key").alias("key")).distinct()
+    return _nodes(out)
 
 
 def is_balanced(boxes: DataFrame) -> bool:
-    """Whether no leaf touches a leaf two or more levels finer."""
-    leaves = boxes.where("is_leaf").select("key")
-    near = leaves.select(F.explode(mk.neighbours("key")).alias("key")).distinct()
-    finer = boxes.where("NOT is_leaf").select(F.explode(mk.neighbours("key")).alias("key"), F.col("key").alias("split"))
-    # a neighbour of a split box must exist itself
-    return finer.select("key").distinct().join(boxes.select("key"), "key", "left_anti").limit(1).count() == 0 and near is not None
+    """Whether no leaf touches a leaf two or more levels finer: a neighbour of a split box must exist itself."""
+    needed = boxes.where("NOT is_leaf").select(F.explode(mk.neighbours("key")).alias("key")).distinct()
+    return needed.join(boxes.select("key"), "key", "left_anti").limit(1).count() == 0
 
 
 def complete(leaves: DataFrame) -> bool:
@@ -89,9 +114,16 @@ def linearised(keys: DataFrame) -> DataFrame:
 
 
 def leaf_of(keys: DataFrame, boxes: DataFrame, name: str = "leaf") -> DataFrame:
-    """keys(key16, ...) with the leaf that holds each: its ancestors are looked up by equality; exactly one is a leaf."""
+    """keys(key16, ...) with the leaf that holds each: ancestors on the levels that have leaves are looked up by equality; one is a leaf.
+
+    A null key (a point outside the domain) is an error.
+    """
     leaves = boxes.where("is_leaf").select(F.col("key").alias(name))
-    distinct = keys.select("key16").distinct().select("key16", F.explode(mk.ancestors(F.col("key16"))).alias(name)).join(leaves, name)
+    lo, hi = leaves.agg(F.min(mk.level(name)), F.max(mk.level(name))).first()
+    if keys.where("key16 IS NULL").limit(1).count():
+        raise ValueError("a point lies outside the domain")
+    at = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda v: mk.ancestor(F.col("key16"), v))
+    distinct = keys.select("key16").distinct().select("key16", F.explode(at).alias(name)).join(leaves, name)
     return keys.join(distinct, "key16")
 
 

@@ -5,16 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below spark.checkpoint.dir (a local folder only where that is unset) and reads it back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local folder only where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="manybody-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet below the shared folder and reads it back."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by columns to as many tasks as the session's shuffles have: what follows is heavy for its bytes, so they are not joined."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
