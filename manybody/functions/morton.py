@@ -125,6 +125,12 @@ def ancestors(key, lowest: int = 0) -> Column:
     return F.transform(F.sequence(F.lit(lowest), level(key)), lambda lev: ancestor(_c(key), lev))
 
 
+def proper_ancestors(key) -> Column:
+    """All ancestors from the root to the parent; none of the root."""
+    key = _c(key)
+    return F.when(level(key) > 0, F.transform(F.sequence(F.lit(0), level(key) - 1), lambda lev: ancestor(key, lev))).otherwise(F.array().cast("array<bigint>"))
+
+
 def octant(key) -> Column:
     """4x + 2y + z of the last digit; null for the root."""
     key = _c(key)
@@ -227,3 +233,33 @@ def radius(key, domain) -> Column:
 def leaf_coordinate(x, key, axis: int, domain) -> Column:
     """(x - a) 2^(l+1) / w - (2i + 1), in that order."""
     return (_c(x) - F.lit(domain[axis])) * _pow2(level(key) + 1) / F.lit(domain[3]) - (index(key, axis) * 2 + 1)
+
+
+def unit_point(x, axis: int, domain) -> Column:
+    """A coordinate mapped to [0, 1] of the domain."""
+    return (_c(x) - F.lit(domain[axis])) / F.lit(domain[axis + 3])
+
+
+def from_unit(u, axis: int, domain) -> Column:
+    return _c(u) * F.lit(domain[axis + 3]) + F.lit(domain[axis])
+
+
+def corners(key, domain) -> Column:
+    """The eight corners (structs x, y, z) of a box, x slowest."""
+    b = box(key, domain)
+    return _let(b, lambda v: F.array(*[F.struct((v["x"] + i * v["wx"]).alias("x"), (v["y"] + j * v["wy"]).alias("y"), (v["z"] + k * v["wz"]).alias("z")) for i in (0, 1) for j in (0, 1) for k in (0, 1)]))
+
+
+def contains(key, x, y, z, domain) -> Column:
+    """Whether the box holds the point: by the point's own key on the box's level."""
+    return F.coalesce(ancestor(point_key(x, y, z, domain), level(key)) == _c(key), F.lit(False))
+
+
+def integer_centre(key, axis: int) -> Column:
+    """The centre's coordinate in half-widths of the finest box: an odd multiple of 2^(16 - level)."""
+    return (index(key, axis) * 2 + 1) * _pow2(F.lit(DEPTH) - level(key))
+
+
+def relative_centre(key, other, axis: int) -> Column:
+    """The other box's centre seen from the first one's, in the first one's half-widths; exact."""
+    return (integer_centre(other, axis) - integer_centre(key, axis)) / _pow2(F.lit(DEPTH) - level(key))

@@ -29,7 +29,7 @@ def pairs(targets: DataFrame, sources: DataFrame) -> DataFrame:
     return p.where("r2 > 0").withColumn("r", F.sqrt("r2"))
 
 
-def _sum(p: DataFrame, targets: DataFrame, **terms) -> DataFrame:
+def summed(p: DataFrame, targets: DataFrame, **terms) -> DataFrame:
     """Sums by target; a target that meets no source has zeros."""
     got = p.groupBy("point_id").agg(*[F.sum(v).alias(k) for k, v in terms.items()])
     return targets.select("point_id").join(got, "point_id", "left").select("point_id", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in terms])
@@ -41,7 +41,7 @@ def laplace(targets: DataFrame, sources: DataFrame, gradients: bool = False, sca
     terms = {"phi": F.col("s_q") / F.col("r") * scale}
     if gradients:
         terms |= {f"g{a}": -F.col("s_q") * F.col(f"d{a}") / (F.col("r2") * F.col("r")) * scale for a in "xyz"}
-    return _sum(p, targets, **terms)
+    return summed(p, targets, **terms)
 
 
 def dipoles(targets: DataFrame, sources: DataFrame, gradients: bool = False, scale: float = 1 / (4 * math.pi)) -> DataFrame:
@@ -52,7 +52,7 @@ def dipoles(targets: DataFrame, sources: DataFrame, gradients: bool = False, sca
     terms = {"phi": dot / r3 * scale}
     if gradients:
         terms |= {f"g{a}": (F.col(f"s_m{a}") / r3 - 3 * dot * F.col(f"d{a}") / (r3 * F.col("r2"))) * scale for a in "xyz"}
-    return _sum(p, targets, **terms)
+    return summed(p, targets, **terms)
 
 
 def yukawa(targets: DataFrame, sources: DataFrame, kappa: float, gradients: bool = False, scale: float = 1 / (4 * math.pi)) -> DataFrame:
@@ -61,7 +61,7 @@ def yukawa(targets: DataFrame, sources: DataFrame, kappa: float, gradients: bool
     terms = {"phi": e / F.col("r") * scale}
     if gradients:
         terms |= {f"g{a}": -e * (kappa * F.col("r") + 1) * F.col(f"d{a}") / (F.col("r2") * F.col("r")) * scale for a in "xyz"}
-    return _sum(p, targets, **terms)
+    return summed(p, targets, **terms)
 
 
 def helmholtz(targets: DataFrame, sources: DataFrame, k_re: float, k_im: float = 0.0, gradients: bool = False, scale: float = 1 / (4 * math.pi)) -> DataFrame:
@@ -77,13 +77,11 @@ def helmholtz(targets: DataFrame, sources: DataFrame, k_re: float, k_im: float =
         for v in "xyz":
             f = F.col(f"d{v}") / (F.col("r2") * F.col("r")) * scale
             terms |= {f"g{v}_re": (a * F.col("ur") - b * F.col("ui")) * f, f"g{v}_im": (a * F.col("ui") + b * F.col("ur")) * f}
-    return _sum(p, targets, **terms)
+    return summed(p, targets, **terms)
 
 
 def relative_l2(got: DataFrame, want: DataFrame, columns: list[str]) -> float:
-    """sqrt(sum |got - want|^2 / sum |want|^2) over point_id, one number from mergeable sums."""
-    w = want.select("point_id", *[F.col(c).alias(f"w_{c}") for c in columns])
-    d = sum(((F.col(c) - F.col(f"w_{c}")) * (F.col(c) - F.col(f"w_{c}")) for c in columns), F.lit(0.0))
-    n = sum((F.col(f"w_{c}") * F.col(f"w_{c}") for c in columns), F.lit(0.0))
-    r = got.join(w, "point_id").agg(F.sum(d).alias("d"), F.sum(n).alias("n"), F.max(F.sqrt(d)).alias("worst")).first()
-    return math.sqrt(r["d"] / r["n"]) if r["n"] else 0.0
+    """sqrt(sum |got - want|^2 / sum |want|^2) over point_id; a missing row or value is an error."""
+    from . import metrics
+
+    return metrics.error_of(got, want, columns).first()["relative_l2"]

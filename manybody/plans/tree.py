@@ -101,7 +101,7 @@ def is_balanced(boxes: DataFrame) -> bool:
 
 
 def complete(leaves: DataFrame) -> bool:
-    """Whether leaves(key) tile the domain: their volumes in level-16 boxes sum to it."""
+    """Whether the volumes of linear leaves(key) sum to the domain's (`sets.is_complete` looks at linearity as well)."""
     total = leaves.agg(F.sum(F.pow(F.lit(8.0), mk.DEPTH - mk.level("key"))).alias("v")).first()["v"]
     return total == 8.0**mk.DEPTH
 
@@ -109,7 +109,7 @@ def complete(leaves: DataFrame) -> bool:
 def linearised(keys: DataFrame) -> DataFrame:
     """keys(key) without duplicates and without those that hold another key."""
     distinct = keys.select("key").distinct()
-    above = distinct.where(mk.level("key") > 0).select(F.explode(mk.ancestors(mk.parent("key"))).alias("key")).distinct()
+    above = distinct.select(F.explode(mk.proper_ancestors("key")).alias("key")).distinct()
     return distinct.join(above, "key", "left_anti")
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import morton as mk
-from .operators import direct
-from .plans import tree
-from .plans.engine import LaplaceEngine
+from .operators import direct, metrics
+from .plans import sets, tree
+from .plans.engine import HelmholtzEngine, LaplaceEngine, YukawaEngine
 from .sources import points as src
 
 UNIT = (0.0, 0.0, 0.0, 1.0, 1.0, 1.0)
@@ -49,7 +49,7 @@ def _anc_sql(key: str, level: str) -> str:
 
 
 def _round(df: DataFrame, *names: str, digits: int = 5) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if c in names else F.col(c) for c in df.columns])  # no -0.0
 
 
 def morton_encode(spark, d):
@@ -153,22 +153,162 @@ def heaviest_boxes(spark, d):
     return k.orderBy(F.desc("n"), "key").limit(20)
 
 
-def _fmm(spark, d, p, tolerance, **kw):
-    e = _emb(spark, d).cache()
-    engine = LaplaceEngine(p=p, max_points_per_leaf=20, gradients=True, **kw).build(e, e)
-    got = engine.evaluate(e)
-    want = direct.laplace(e, e, gradients=True)
-    err = direct.relative_l2(got, want, ["phi"])
-    return spark.createDataFrame([(e.count(), bool(err <= tolerance))], "n_targets long, within_tolerance boolean")
+def _cubed(spark, d) -> DataFrame:
+    """The embeddings' points with cubed coordinates: crowded around the origin, so that all four lists have pairs."""
+    return _emb(spark, d).select("point_id", "source_id", *[(F.col(a) * F.col(a) * F.col(a)).alias(a) for a in "xyz"], "q")
 
 
 def laplace_fmm(spark, d):
-    """Potentials by expansions of degree 5 against the direct sum: the error is within the degree's."""
-    return _fmm(spark, d, 5, 1e-3)
+    """Potentials and gradients by expansions of degree 15; SQL sums all pairs. So do the queries below."""
+    e = _emb(spark, d)
+    out = LaplaceEngine(p=15, max_points_per_leaf=20, gradients=True).build(e, e).evaluate(e)
+    return _round(_round(out, "phi", digits=1), "gx", "gy", "gz", digits=0)
+
+
+def adaptive_fmm(spark, d):
+    e = _cubed(spark, d)
+    return _round(LaplaceEngine(p=15, max_points_per_leaf=5).build(e, e).evaluate(e), "phi", digits=0)
+
+
+def dipole_fmm(spark, d):
+    e = _emb(spark, d).select("*", *[F.col("q").alias(f"m{a}") for a in "xyz"]).drop("q")
+    return _round(LaplaceEngine(p=15, max_points_per_leaf=20, dipole=True).build(e, e).evaluate(e), "phi", digits=0)
+
+
+def two_vector_fmm(spark, d):
+    e = _emb(spark, d).select("*", F.col("q").alias("q0"), F.lit(1.0).alias("q1")).drop("q")
+    return _round(LaplaceEngine(p=12, max_points_per_leaf=20, vectors=2).build(e, e).evaluate(e), "phi0", "phi1", digits=1)
+
+
+def yukawa_fmm(spark, d):
+    e = _emb(spark, d)
+    out = YukawaEngine(0.5, p=13, max_points_per_leaf=20, gradients=True).build(e, e).evaluate(e)
+    return _round(_round(out, "phi", digits=1), "gx", "gy", "gz", digits=-1)
+
+
+def helmholtz_fmm(spark, d):
+    e = _emb(spark, d).withColumn("q_re", F.col("q"))
+    return _round(HelmholtzEngine(1.0 + 0.25j, p=11, max_points_per_leaf=20).build(e, e).evaluate(e), "phi_re", "phi_im", digits=1)
+
+
+def _xy(spark, d) -> DataFrame:
+    """Errors of x as a result for the reference y, with the point's box of level 2."""
+    o = _orders(spark, d)
+    rows = metrics.compared(o.select("point_id", F.col("x").alias("v")), o.select("point_id", F.col("y").alias("v")), ["v"])
+    return rows.join(o.select("point_id", mk.point_key("x", "y", "z", UNIT, 2).alias("key")), "point_id")
+
+
+def error_norm(spark, d):
+    """Relative L2 and largest error, from states of 7 parts that are kept as text and merged."""
+    parts = _xy(spark, d).groupBy(F.pmod("point_id", F.lit(7))).agg(metrics.serialised(metrics.state()).alias("kept"))
+    s = parts.select(metrics.deserialised(F.col("kept")).alias("state")).agg(metrics.merged().alias("s"))
+    return _round(s.select(F.col("s.n").alias("n"), metrics.relative(F.col("s")).alias("relative_l2"), F.col("s.worst").alias("max_error"), F.col("s.largest").alias("largest")), "relative_l2", "max_error", "largest", digits=9)
+
+
+def error_by_box(spark, d):
+    return _round(metrics.box_errors(_xy(spark, d), "key"), "rms", "relative_l2", digits=9)
+
+
+def worst_boxes(spark, d):
+    return _round(metrics.worst_boxes(metrics.box_errors(_xy(spark, d), "key"), "key", 10), "rms", "relative_l2", digits=9)
+
+
+def error_summary(spark, d):
+    rows = _xy(spark, d).select("key", F.sqrt("diff2").alias("e"))
+    return _round(metrics.summary(rows, "e", "key"), "least", "median", "mean", "most", "deviation", digits=9)
+
+
+def charge_magnitudes(spark, d):
+    e = _emb(spark, d)
+    return _round(metrics.magnitudes(e, e), "m1", "m2")
+
+
+def scaled_errors(spark, d):
+    """The largest difference of the potential from itself with charges a tenth larger, by the sum of magnitudes: one row."""
+    e = _emb(spark, d)
+    want = direct.laplace(e, e)
+    got = want.select("point_id", (F.col("phi") * 1.1).alias("phi"))
+    return _round(metrics.scaled_error(got, want, ["phi"], metrics.magnitudes(e, e), "m1"), "scaled_error", digits=9)
+
+
+def _expansions(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double")).alias("c"))
+
+
+def degree_norms(spark, d):
+    """The first 16 components as an expansion of degree 3: its norm by degree."""
+    return _round(metrics.degree_norms(_expansions(spark, d)).select("key", F.col("n").cast("long").alias("n"), "norm"), "norm", digits=6)
+
 
+def worst_degrees(spark, d):
+    e = _expansions(spark, d)
+    got = e.select("key", F.transform("c", lambda v, i: v * (1 + F.when(i > 3, 0.25).otherwise(0.5))).alias("c"))
+    errors = metrics.degree_errors(got, e)
+    return _round(metrics.worst_degree(errors.select("key", "n", F.round("error", 6).alias("error"))).select("key", F.col("n").cast("long").alias("n"), "error"), "error", digits=6)
 
-def laplace_fmm_fine(spark, d):
-    return _fmm(spark, d, 9, 2e-5)
+
+def _some_keys(spark, d) -> DataFrame:
+    return _orders(spark, d).where("point_id % 17 = 0").select(mk.point_key("x", "y", "z", UNIT, 4).alias("key")).distinct()
+
+
+def completed_tree(spark, d):
+    """The coarsest complete octree with the boxes of level 4 that hold every 17th point."""
+    return sets.completed(_some_keys(spark, d)).select("key", mk.level("key").cast("long").alias("level"))
+
+
+def region_gaps(spark, d):
+    """What fills the domain between those boxes."""
+    return sets.gaps(_some_keys(spark, d)).select("key", mk.level("key").cast("long").alias("level"))
+
+
+def ancestor_closure(spark, d):
+    return sets.with_ancestors(_some_keys(spark, d))
+
+
+def linear_part(spark, d):
+    """Of boxes of level 4 and some of their ancestors, those that hold no other."""
+    k = _some_keys(spark, d)
+    return tree.linearised(k.union(k.select(mk.ancestor("key", 2).alias("key"))))
+
+
+def coarse_blocks(spark, d):
+    return sets.coarse_blocks(tree.keyed(_orders(spark, d), UNIT).select("key16"), 300, 6)
+
+
+def _blocks(spark, d) -> DataFrame:
+    return _orders(spark, d).select(mk.point_key("x", "y", "z", UNIT, 3).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def csr_offsets(spark, d):
+    """Points before each box of level 3 in key order."""
+    return sets.prefix_sums(_blocks(spark, d), "key", "n")
+
+
+def rank_in_box(spark, d):
+    k = _orders(spark, d).select("point_id", mk.point_key("x", "y", "z", UNIT, 3).alias("key"))
+    return sets.rank_in_group(k, "key", "point_id").select("point_id", "key", F.col("rank").cast("long").alias("rank"))
+
+
+def nearest_cut(spark, d):
+    """Boxes of level 3 with their part of five, cut at the boundaries nearest to even weights."""
+    b = _blocks(spark, d)
+    cuts = sets.cut_at(b, "n", 5)
+    return b.select("key", "n", sets.owner(F.col("key"), cuts).cast("long").alias("part"))
+
+
+def coarse_owners(spark, d):
+    """The parts that own something of each box of level 1."""
+    b = _blocks(spark, d)
+    cuts = sets.cut_at(b, "n", 5)
+    own = sets.owners_within(F.col("key"), cuts)
+    return b.select(mk.ancestor("key", 1).alias("key")).distinct().select("key", F.array_min(own).cast("long").alias("first"), F.array_max(own).cast("long").alias("last"))
+
+
+def box_geometry(spark, d):
+    """Centre, radius, integer centre and outer corner of points' boxes of level 5, and the box seen from its parent."""
+    k = _orders(spark, d).select("point_id", mk.point_key("x", "y", "z", UNIT, LEVEL).alias("key"), F.col("x").alias("px"))
+    top = F.element_at(mk.corners("key", UNIT), 8)
+    return k.select("point_id", mk.radius("key", UNIT).alias("radius"), F.element_at(mk.centre("key", UNIT), 1).alias("cx"), mk.integer_centre("key", 1).alias("iy"), top["z"].alias("top_z"), mk.relative_centre(mk.parent("key"), "key", 0).alias("up_x"), mk.leaf_coordinate("px", "key", 0, UNIT).alias("lx"))
 
 
 def fmm_potentials(spark, d):
@@ -178,7 +318,7 @@ def fmm_potentials(spark, d):
     return engine.evaluate(o)
 
 
-QUERIES = {f.__name__: f for f in (morton_encode, morton_decode, morton_relations, morton_neighbours, box_occupancy, adaptive_leaves, tree_statistics, leaf_lookup, balanced_leaves, list_counts, domain_cube, direct_laplace, direct_dipole, direct_yukawa, direct_helmholtz, uniform_near_pairs, work_cut, heaviest_boxes, laplace_fmm, laplace_fmm_fine, fmm_potentials)}
+QUERIES = {f.__name__: f for f in (morton_encode, morton_decode, morton_relations, morton_neighbours, box_occupancy, adaptive_leaves, tree_statistics, leaf_lookup, balanced_leaves, list_counts, domain_cube, direct_laplace, direct_dipole, direct_yukawa, direct_helmholtz, uniform_near_pairs, work_cut, heaviest_boxes, laplace_fmm, adaptive_fmm, dipole_fmm, two_vector_fmm, yukawa_fmm, helmholtz_fmm, error_norm, error_by_box, worst_boxes, error_summary, charge_magnitudes, scaled_errors, degree_norms, worst_degrees, completed_tree, region_gaps, ancestor_closure, linear_part, coarse_blocks, csr_offsets, rank_in_box, nearest_cut, coarse_owners, box_geometry, fmm_potentials)}
 
 _K = f"k AS (SELECT point_id, q, {_key_sql(LEVEL)} AS key FROM o)"
 _IJK = ", ".join(f"least(CAST(floor({v} * {1 << LEVEL}) AS BIGINT), {(1 << LEVEL) - 1}) AS {i}" for v, i in zip("xyz", "ijk"))
@@ -191,6 +331,46 @@ _PAIRS = "FROM e t, e s WHERE (t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y)+(t.z-s.z)*
 _R = "sqrt((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y)+(t.z-s.z)*(t.z-s.z))"
 _F = repr(1 / (4 * math.pi)) + "::DOUBLE"
 
+# boxes as (l, i, j, k), for what SQL says by coordinates
+_SPLIT = f"""p AS (SELECT o_orderkey, {", ".join(f"CAST(floor({v} * 65536) AS BIGINT) AS {i}" for v, i in zip("xyz", "ijk"))} FROM (SELECT o_orderkey, {_XYZ} FROM orders)),
+c AS (SELECT l, i >> (16 - l) AS i, j >> (16 - l) AS j, k >> (16 - l) AS k, count(DISTINCT (i, j, k)) AS n FROM p, (SELECT CAST(range AS INTEGER) AS l FROM range(6)) GROUP BY ALL),
+s AS (SELECT l, i, j, k FROM c WHERE n > 40 UNION
+  SELECT l - 1, (i + a) >> 1, (j + b) >> 1, (k + c) >> 1 FROM s, (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b), (VALUES (-1), (0), (1)) z(c)
+  WHERE l > 0 AND i + a BETWEEN 0 AND (1 << l) - 1 AND j + b BETWEEN 0 AND (1 << l) - 1 AND k + c BETWEEN 0 AND (1 << l) - 1),
+b AS (SELECT 0 AS l, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS k UNION ALL SELECT l + 1, 2 * i + x.a, 2 * j + y.b, 2 * k + z.c FROM s, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b), (VALUES (0), (1)) z(c)),
+box AS (SELECT b.*, s.l IS NULL AS leaf FROM b LEFT JOIN s USING (l, i, j, k))"""
+
+
+def _ijk_key(lev: str, i="i", j="j", k="k") -> str:
+    at = [f"({v} << (16 - {lev}))" for v in (i, j, k)]
+    return f"CAST((({_spread_sql(at[0])}) * 4 + ({_spread_sql(at[1])}) * 2 + ({_spread_sql(at[2])})) * 32768 + {lev} AS BIGINT)"
+
+
+def _touch(a: str, b: str, up_a: int = 0, up_b: int = 0) -> str:
+    """Whether two boxes (or their parents) touch or overlap: closed intervals in finest cells on all axes."""
+    lo = lambda t, v, u: f"(({t}.{v} >> {u}) << (16 - {t}.l + {u}))"
+    hi = lambda t, v, u: f"((({t}.{v} >> {u}) + 1) << (16 - {t}.l + {u}))"
+    return "(" + " AND ".join(f"{lo(a, v, up_a)} <= {hi(b, v, up_b)} AND {lo(b, v, up_b)} <= {hi(a, v, up_a)}" for v in "ijk") + ")"
+
+
+def _within(a: str, b: str) -> str:
+    """Whether box a is b or lies in it."""
+    return f"({a}.l >= {b}.l AND {a}.i >> ({a}.l - {b}.l) = {b}.i AND {a}.j >> ({a}.l - {b}.l) = {b}.j AND {a}.k >> ({a}.l - {b}.l) = {b}.k)"
+
+
+_ERRORS = f"e AS (SELECT point_id, {_key_sql(2)} AS key, (x - y) * (x - y) AS d, y * y AS w FROM o)"
+_SOME = "f AS (SELECT DISTINCT 4 AS l, " + ", ".join(f"CAST(floor({v} * 16) AS BIGINT) AS {i}" for v, i in zip("xyz", "ijk")) + " FROM o WHERE point_id % 17 = 0), up AS (SELECT DISTINCT r.l, i >> (4 - r.l) AS i, j >> (4 - r.l) AS j, k >> (4 - r.l) AS k FROM f, (SELECT CAST(range AS INTEGER) AS l FROM range(4)) r)"
+_DONE = f"{_SOME}, n AS (SELECT 0 AS l, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS k UNION ALL SELECT l + 1, 2 * i + x.a, 2 * j + y.b, 2 * k + z.c FROM up, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b), (VALUES (0), (1)) z(c)), t AS (SELECT n.* FROM n ANTI JOIN up USING (l, i, j, k))"
+_BLOCKS = f"k AS (SELECT {_key_sql(3)} AS key, count(*) AS n FROM o GROUP BY 1), r AS (SELECT key, n, coalesce(sum(n) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS t, lead(key) OVER (ORDER BY key) AS after FROM k)"
+_CUTS = f"{_BLOCKS}, cut AS (SELECT DISTINCT CASE WHEN before + n - m * t / 5.0::DOUBLE <= m * t / 5.0::DOUBLE - before THEN after ELSE key END AS first_key FROM r, (VALUES (1), (2), (3), (4)) q(m) WHERE before <= m * t / 5.0::DOUBLE AND m * t / 5.0::DOUBLE < before + n)"
+_DEGREES = "u AS (SELECT vec_id AS key, unnest(range(16)) AS i, unnest(embedding[1:16])::DOUBLE AS v FROM embeddings), g AS (SELECT key, i, CAST(floor(sqrt(i)) AS BIGINT) AS n, v, CASE WHEN i > 3 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS f FROM u), h AS (SELECT key, n, sqrt(sum(CASE WHEN i = n * n + n THEN 1 ELSE 2 END * v * v)) AS norm, sqrt(sum(CASE WHEN i = n * n + n THEN 1 ELSE 2 END * v * v * f * f)) AS err FROM g GROUP BY 1, 2)"
+C_SQL = "e AS (SELECT point_id, x * x * x AS x, y * y * y AS y, z * z * z AS z, q FROM (SELECT vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, label - 4.5::DOUBLE AS q FROM embeddings))"
+
+
+def _grad(factor: str, digits: int) -> str:
+    return ", ".join(f"round(sum(-s.q * {factor} * (t.{a}-s.{a}) / ({_R} * {_R} * {_R}) * {_F}), {digits}) + 0 AS g{a}" for a in "xyz")
+
+
 ORACLES = {
     "morton_encode": f"WITH {O_SQL}, {_K} SELECT point_id, key FROM k",
     "morton_decode": f"WITH {O_SQL} SELECT point_id, {_IJK}, {LEVEL}::BIGINT AS level FROM o",
@@ -208,6 +388,34 @@ ORACLES = {
     "uniform_near_pairs": f"WITH {O_SQL}, k AS (SELECT {_key_sql(4)} AS key, least(CAST(floor(x * 16) AS BIGINT), 15) AS i, least(CAST(floor(y * 16) AS BIGINT), 15) AS j, least(CAST(floor(z * 16) AS BIGINT), 15) AS l, count(*) AS n FROM o GROUP BY ALL) SELECT a.key, CAST(sum(a.n * b.n) AS BIGINT) AS pairs FROM k a JOIN k b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.l - b.l) <= 1 GROUP BY 1",
     "work_cut": f"WITH {O_SQL}, k AS (SELECT {_key_sql(3)} AS key, count(*) AS n FROM o GROUP BY 1), r AS (SELECT key, n, sum(n) OVER (ORDER BY key) AS run, sum(n) OVER () AS t FROM k) SELECT key, n, CAST(least(7, floor(CAST((run - n) * 8 AS DOUBLE) / t)) AS BIGINT) AS part FROM r",
     "heaviest_boxes": f"WITH {O_SQL} SELECT {_key_sql(4)} AS key, count(*) AS n FROM o GROUP BY 1 ORDER BY n DESC, key LIMIT 20",
-    "laplace_fmm": "SELECT count(*) AS n_targets, true AS within_tolerance FROM embeddings",
-    "laplace_fmm_fine": "SELECT count(*) AS n_targets, true AS within_tolerance FROM embeddings",
+    "balanced_leaves": f"WITH RECURSIVE {_SPLIT} SELECT {_ijk_key('l')} AS key, CAST(l AS BIGINT) AS level FROM box WHERE leaf",
+    "list_counts": f"""WITH RECURSIVE {_SPLIT} SELECT kind, CAST(sum(n) AS BIGINT) AS pairs FROM (
+SELECT 'U' AS kind, count(*) AS n FROM box a JOIN box b ON a.leaf AND b.leaf AND (a.l, a.i, a.j, a.k) <> (b.l, b.i, b.j, b.k) AND {_touch("a", "b")}
+UNION ALL SELECT 'V', count(*) FROM box a JOIN box b ON a.l = b.l AND a.l > 0 AND {_touch("a", "b", 1, 1)} AND (a.i >> 1, a.j >> 1, a.k >> 1) <> (b.i >> 1, b.j >> 1, b.k >> 1) AND NOT {_touch("a", "b")}
+UNION ALL SELECT x.kind, count(*) FROM box a JOIN box b ON a.leaf AND b.l > a.l AND {_touch("a", "b", 0, 1)} AND NOT {_touch("a", "b")} AND NOT {_within("b", "a")}, (VALUES ('W'), ('X')) x(kind) GROUP BY 1
+) GROUP BY kind HAVING sum(n) > 0""",
+    "laplace_fmm": f"WITH {E_SQL} SELECT t.point_id, round(sum(s.q / {_R} * {_F}), 1) AS phi, {_grad('1', 0)} {_PAIRS}",
+    "adaptive_fmm": f"WITH {C_SQL} SELECT t.point_id, round(sum(s.q / {_R} * {_F}), 0) + 0 AS phi {_PAIRS}",
+    "dipole_fmm": f"WITH {E_SQL} SELECT t.point_id, round(sum(s.q * (t.x-s.x + t.y-s.y + t.z-s.z) / ({_R} * {_R} * {_R}) * {_F}), 0) + 0 AS phi {_PAIRS}",
+    "two_vector_fmm": f"WITH {E_SQL} SELECT t.point_id, round(sum(s.q / {_R} * {_F}), 1) AS phi0, round(sum(1 / {_R} * {_F}), 1) AS phi1 {_PAIRS}",
+    "yukawa_fmm": f"WITH {E_SQL} SELECT t.point_id, round(sum(s.q * exp(-0.5::DOUBLE * {_R}) / {_R} * {_F}), 1) AS phi, {_grad(f'exp(-0.5::DOUBLE * {_R}) * (1 + 0.5::DOUBLE * {_R})', -1)} {_PAIRS}",
+    "helmholtz_fmm": f"WITH {E_SQL} SELECT t.point_id, round(sum(s.q * exp(-0.25::DOUBLE * {_R}) * cos({_R}) / {_R} * {_F}), 1) + 0 AS phi_re, round(sum(s.q * exp(-0.25::DOUBLE * {_R}) * sin({_R}) / {_R} * {_F}), 1) + 0 AS phi_im {_PAIRS}",
+    "error_norm": f"WITH {O_SQL}, {_ERRORS} SELECT count(*) AS n, round(sqrt(sum(d) / sum(w)), 9) AS relative_l2, round(sqrt(max(d)), 9) AS max_error, round(sqrt(max(w)), 9) AS largest FROM e",
+    "error_by_box": f"WITH {O_SQL}, {_ERRORS} SELECT key, count(*) AS n, round(sqrt(sum(d) / count(*)), 9) AS rms, round(sqrt(sum(d) / sum(w)), 9) AS relative_l2 FROM e GROUP BY key",
+    "worst_boxes": f"WITH {O_SQL}, {_ERRORS} SELECT key, count(*) AS n, round(sqrt(sum(d) / count(*)), 9) AS rms, round(sqrt(sum(d) / sum(w)), 9) AS relative_l2 FROM e GROUP BY key ORDER BY sqrt(sum(d) / sum(w)) DESC, key LIMIT 10",
+    "error_summary": f"WITH {O_SQL}, {_ERRORS} SELECT key, count(*) AS n, round(min(sqrt(d)), 9) AS least, round(median(sqrt(d)), 9) AS median, round(avg(sqrt(d)), 9) AS mean, round(max(sqrt(d)), 9) AS most, round(coalesce(stddev_samp(sqrt(d)), 0), 9) AS deviation FROM e GROUP BY key",
+    "charge_magnitudes": f"WITH {E_SQL} SELECT t.point_id, round(sum(abs(s.q) / {_R} * {_F}), 5) AS m1, round(sum(abs(s.q) / ({_R} * {_R}) * {_F}), 5) AS m2 {_PAIRS}",
+    "scaled_errors": f"WITH {E_SQL} SELECT round(max(abs(p * 0.1::DOUBLE) / m), 9) AS scaled_error FROM (SELECT t.point_id, sum(s.q / {_R}) AS p, sum(abs(s.q) / {_R}) AS m {_PAIRS})",
+    "degree_norms": f"WITH {_DEGREES} SELECT key, n, round(norm, 6) AS norm FROM h",
+    "worst_degrees": f"WITH {_DEGREES}, w AS (SELECT key, n, round(err / norm, 6) AS error FROM h) SELECT key, min(n) AS n, error FROM w WHERE (key, error) IN (SELECT key, max(error) FROM w GROUP BY key) GROUP BY key, error",
+    "completed_tree": f"WITH {O_SQL}, {_DONE} SELECT {_ijk_key('l')} AS key, CAST(l AS BIGINT) AS level FROM t",
+    "region_gaps": f"WITH {O_SQL}, {_DONE} SELECT {_ijk_key('l')} AS key, CAST(l AS BIGINT) AS level FROM t ANTI JOIN f USING (l, i, j, k)",
+    "ancestor_closure": f"WITH {O_SQL}, {_SOME} SELECT {_ijk_key('l')} AS key FROM (FROM f UNION FROM up)",
+    "linear_part": f"WITH {O_SQL}, {_SOME} SELECT {_ijk_key('l')} AS key FROM f",
+    "coarse_blocks": f"WITH {O_SQL}, o16 AS (SELECT {_key_sql(16)} AS key FROM o), c AS (SELECT CAST({_anc_sql('key', 'l')} AS BIGINT) AS key, l, count(*) AS n FROM o16, range(7) r(l) GROUP BY ALL) SELECT a.key, CAST(a.n AS BIGINT) AS n FROM c a LEFT JOIN c b ON a.l = b.l + 1 AND b.key = CAST({_anc_sql('a.key', 'b.l')} AS BIGINT) WHERE (a.n <= 300 OR a.l = 6) AND (b.n IS NULL OR b.n > 300)",
+    "csr_offsets": f"WITH {O_SQL}, {_BLOCKS} SELECT key, n, CAST(before AS BIGINT) AS before FROM r",
+    "rank_in_box": f"WITH {O_SQL} SELECT point_id, {_key_sql(3)} AS key, row_number() OVER (PARTITION BY {_key_sql(3)} ORDER BY point_id) - 1 AS rank FROM o",
+    "nearest_cut": f"WITH {O_SQL}, {_CUTS} SELECT key, n, (SELECT count(*) FROM cut WHERE first_key <= r.key) AS part FROM r",
+    "coarse_owners": f"WITH {O_SQL}, {_CUTS} SELECT a.key, (SELECT count(*) FROM cut WHERE first_key <= a.key) AS first, (SELECT count(*) FROM cut WHERE first_key <= a.key::HUGEINT - 1 + (1::BIGINT << 60) - 32768 + 16) AS last FROM (SELECT DISTINCT CAST({_anc_sql('key', '1')} AS BIGINT) AS key FROM k) a",
+    "box_geometry": f"WITH {O_SQL}, b AS (SELECT point_id, x, {_IJK} FROM o) SELECT point_id, 1 / 64.0::DOUBLE AS radius, (2 * i + 1) / 64.0::DOUBLE AS cx, (2 * j + 1) * 2048 AS iy, (l + 1) / 32.0::DOUBLE AS top_z, CASE WHEN i % 2 = 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS up_x, x * 64 - (2 * i + 1) AS lx FROM (SELECT point_id, x, i, j, k AS l FROM b)",
 }

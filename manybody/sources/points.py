@@ -53,11 +53,11 @@ def plummer(spark, n: int, seed: int = 1, centre=(0.0, 0.0, 0.0), scale: float =
 
 
 def clusters(spark, n: int, centres: list[tuple[float, float, float]], width: float = 0.02, seed: int = 1) -> DataFrame:
-    """Gaussian clusters, each component cut at four widths."""
+    """Gaussian clusters; a component beyond four widths is drawn again (up to eight times: one in 10^33 is then at the centre)."""
     which = F.floor(uniform(seed, 99) * len(centres)).cast("int")
     at = F.array(*[F.array(*map(F.lit, map(float, c))) for c in centres])
-    cut = lambda v: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), v))
-    return _rows(spark, n, **{a: F.get(F.get(at, which), F.lit(i)) + width * cut(normal(seed, 20 + 2 * i)) for i, a in enumerate("xyz")})
+    inside = lambda i: F.coalesce(*[F.when(F.abs(z) <= 4, z) for z in (normal(seed, 20 + 2 * i + 100 * turn) for turn in range(8))], F.lit(0.0))
+    return _rows(spark, n, **{a: F.get(F.get(at, which), F.lit(i)) + width * inside(i) for i, a in enumerate("xyz")})
 
 
 def fibonacci_sphere(spark, n: int, radius: float = 0.5) -> DataFrame:
