@@ -140,24 +140,26 @@ class Codec:
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def _first(self, words: list[int], tokens: list[np.ndarray], places: list[np.ndarray]) -> None:
-        """The table that a query starts from."""
-        word = np.repeat(np.array(words, np.int64), [len(x) for x in tokens])
-        tok, pos = np.concatenate(tokens), np.concatenate(places)
+    def _first(self, word: np.ndarray, tok: np.ndarray, pos: np.ndarray) -> None:
+        """The table that a query starts from: words, tokens, and where these end."""
         last = np.append(word[1:] != word[:-1], True)
         self._table("first_tokens", word=word, pos=pos, tok=tok, next_pos=pa.array(np.append(pos[1:], 0), mask=last), next_tok=pa.array(np.append(tok[1:], 0), mask=last))
 
-    def _short(self, raw: list[bytes], todo: list[int]) -> dict[int, list[int]]:
-        """Ids of pieces, by their numbers; about half the square of a piece's length is what its turns gather."""
-        out: dict[int, list[int]] = {}
-        heap = np.cumsum([len(raw[i]) ** 2 // 2 + 1 for i in todo])
-        group = np.maximum(heap // self.gathered, np.arange(len(todo)) // self.group)
-        for g in np.unique(group):
-            part = [todo[i] for i in np.flatnonzero(group == g)]
-            self._first(part, [self.single[np.frombuffer(raw[i], np.uint8)] for i in part], [np.arange(len(raw[i])) for i in part])
+    def _short(self, pieces: list[str], raw: list[bytes], todo: list[int]) -> None:
+        """Keeps pieces, by their numbers; about half the square of a piece's length is what its turns gather."""
+        size = np.fromiter((len(raw[i]) for i in todo), np.int64, len(todo))
+        group = np.maximum(np.cumsum(size * size // 2 + 1) // self.gathered, np.arange(len(todo)) // self.group)
+        cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1)) if len(todo) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            part, n = todo[lo:hi], size[lo:hi]
+            at = np.cumsum(n) - n
+            self._first(np.repeat(np.array(part, np.int64), n), self.single[np.frombuffer(b"".join([raw[i] for i in part]), np.uint8)], np.arange(int(n.sum())) - np.repeat(at, n))
             got = self.db.sql(ENCODE).to_arrow_table()
-            out.update(zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True))
-        return out
+            ids = got.column("ids").combine_chunks()
+            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
+            text, packed = list(map(str, flat.tolist())), flat.astype("<i4").tobytes()
+            for i, a, b in zip(got.column("word").to_pylist(), ends[:-1], ends[1:], strict=True):
+                self.known[pieces[i]] = (",".join(text[a:b]), packed[4 * a : 4 * b])
 
     def _long(self, raw: list[bytes], todo: list[int]) -> dict[int, list[int]]:
         """Ids of long pieces, by as many queries as their turns need."""
@@ -167,7 +169,7 @@ class Codec:
             state = {todo[i]: (self.single[np.frombuffer(raw[todo[i]], np.uint8)], np.arange(len(raw[todo[i]]))) for i in np.flatnonzero(group == g)}
             while state:
                 turns = max(1, self.gathered // sum(len(t) for t, _ in state.values()))
-                self._first(list(state), [t for t, _ in state.values()], [p for _, p in state.values()])
+                self._first(np.repeat(np.array(list(state), np.int64), [len(t) for t, _ in state.values()]), *(np.concatenate(x) for x in zip(*state.values(), strict=True)))
                 for word, turn, toks in zip(*(x for x in self.db.sql(ENCODE_LONG.format(reach=self.reach, turns=turns)).to_arrow_table().columns), strict=True):
                     tok, pos = toks.values.field("tok").to_numpy(), toks.values.field("pos").to_numpy()
                     if turn.as_py() < turns:
@@ -179,20 +181,18 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes distinct pieces and keeps (ids as text, ids as bytes)."""
-        ids: dict[int, list[int]] = {}
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         short, long = [], []
         for i, b in enumerate(raw):
-            if b in self.ranks:
-                ids[i] = [self.ranks[b]]
+            if (rank := self.ranks.get(b)) is not None:
+                self.known[pieces[i]] = (str(rank), rank.to_bytes(4, "little"))
             elif len(b) >= 1 << 23:
                 raise ValueError("a piece of 8 MB and more between two places where the pattern cuts")
             else:
                 (long if len(b) > self.reach else short).append(i)
-        ids.update(self._short(raw, short))
-        ids.update(self._long(raw, long))
-        for i, p in enumerate(pieces):
-            self.known[p] = (",".join(map(str, ids[i])), np.array(ids[i], "<i4").tobytes())
+        self._short(pieces, raw, short)
+        for i, ids in self._long(raw, long).items():
+            self.known[pieces[i]] = (",".join(map(str, ids)), np.array(ids, "<i4").tobytes())
 
     def decode(self, lists: list[np.ndarray]) -> list[bytes]:
         """Bytes of lists of ids."""
