@@ -16,9 +16,12 @@ kernel's mathematics. Another potential is added by another class with these mem
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from ..functions import harmonics as h
+from ..functions import rotations as rot
 from ..functions import waves as w
 
 #: Degree by the relative L2 error of the potential that it reaches.
@@ -33,13 +36,29 @@ def degree_for(tolerance: float) -> int:
     return min(found)
 
 
+STRATEGIES = ("dense", "classes", "rotation")
+
+
 class Kernel:
-    """Settings shared by all kernels: number of strength vectors, gradients; side: of the domain, set by the engine."""
+    """Settings shared by all kernels: number of strength vectors, gradients, M2L strategy; side: of the domain, set by the engine.
 
-    def __init__(self, vectors: int = 1, gradients: bool = False):
+    strategy: a matrix for each far offset (dense), one for each of 16 classes between turns
+    by the cube's symmetries (classes), one for each distance along z between rotations
+    (rotation), or auto, which takes dense ones while they are small (`rotations.choose`).
+    """
+
+    def __init__(self, vectors: int = 1, gradients: bool = False, strategy: str = "auto"):
         if vectors < 1:
             raise ValueError("vectors must be 1 at least")
-        self.vectors, self.gradients, self.side = vectors, gradients, 1.0
+        if strategy not in (*STRATEGIES, "auto"):
+            raise ValueError(f"no strategy {strategy}")
+        self.vectors, self.gradients, self.side, self.strategy = vectors, gradients, 1.0, strategy
+
+    def chosen(self) -> tuple[str, str]:
+        """The M2L strategy in use, and why."""
+        return (self.strategy, "as asked for") if self.strategy != "auto" else rot.choose((self.p + 1) ** 2, self.itemsize)
+
+    itemsize = 8
 
     @property
     def tags(self) -> list[str]:
@@ -49,8 +68,10 @@ class Kernel:
         return self.side / 2.0 ** (level + 1)
 
     def move(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Expansions (.., size) by a translation of up, down or far."""
-        return c @ t.T
+        """Expansions (.., size) by a translation of up, down or far (a matrix, or several to apply in turn)."""
+        for x in t if isinstance(t, tuple) else (t,):
+            c = c @ x.T
+        return c
 
 
 def _pairs(x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -64,11 +85,26 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return d, inv
 
 
+@lru_cache(6)
+def _laplace_far(strategy: str, p: int):
+    if strategy == "dense":
+        return h.far_matrices(p)[1]
+    return (rot.by_classes if strategy == "classes" else rot.by_rotation)(p, lambda b: h.m2l(p, 2.0 * np.asarray(b, float)), "M", "L")
+
+
+@lru_cache(12)
+def _wave_far(strategy: str, p: int, k: complex, a: float):
+    if strategy == "dense":
+        return w.tables("far", p, k, a)
+    far = lambda b: w.far_translations(p, k, a, 2 * a * np.asarray(b, float)).transpose(0, 2, 1)
+    return (rot.by_classes if strategy == "classes" else rot.by_rotation)(p, far, "Y", "Y")
+
+
 class Laplace(Kernel):
     """Charges q / (4 pi R) and dipoles d.w / (4 pi R^3), by solid harmonics of degree p."""
 
-    def __init__(self, p: int, vectors: int = 1, gradients: bool = False, dipole: bool = False):
-        super().__init__(vectors, gradients)
+    def __init__(self, p: int, vectors: int = 1, gradients: bool = False, dipole: bool = False, strategy: str = "auto"):
+        super().__init__(vectors, gradients, strategy)
         if not 0 <= p <= 20:
             raise ValueError("p must be 0..20")
         self.p, self.dipole, self.size = p, dipole, (p + 1) ** 2
@@ -111,8 +147,8 @@ class Laplace(Kernel):
     def down(self, level: int) -> np.ndarray:
         return h.down_matrices(self.p)
 
-    def far(self, level: int) -> np.ndarray:
-        return h.far_matrices(self.p)[1]
+    def far(self, level: int):
+        return _laplace_far(self.chosen()[0], self.p)
 
     def near(self, x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
         q, m = self._split(s)
@@ -143,10 +179,10 @@ class Helmholtz(Kernel):
     given or follows from the tolerance, the wave number and the box size (`waves.degree`).
     """
 
-    real = False
+    real, itemsize = False, 16
 
-    def __init__(self, k: complex, p: int | None = None, tolerance: float = 1e-3, vectors: int = 1, gradients: bool = False):
-        super().__init__(vectors, gradients)
+    def __init__(self, k: complex, p: int | None = None, tolerance: float = 1e-3, vectors: int = 1, gradients: bool = False, strategy: str = "auto"):
+        super().__init__(vectors, gradients, strategy)
         if k == 0 or complex(k).imag < 0 or not np.isfinite(complex(k)):
             raise ValueError("k must be finite, not 0, and not grow")
         self.k, self.tolerance, self.fixed = complex(k), tolerance, p
@@ -195,12 +231,12 @@ class Helmholtz(Kernel):
     def down(self, level: int) -> np.ndarray:
         return w.tables("down", self.p, self.k, self.radius(level))
 
-    def far(self, level: int) -> np.ndarray:
-        return w.tables("far", self.p, self.k, self.radius(level))
+    def far(self, level: int):
+        return _wave_far(self.chosen()[0], self.p, self.k, self.radius(level))
 
     def move(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
         n = self.size // 2
-        return self._reals((c[..., :n] + 1j * c[..., n:]) @ t.T)
+        return self._reals(super().move(c[..., :n] + 1j * c[..., n:], t))
 
     def near(self, x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
         q = self._charges(s)
@@ -223,7 +259,7 @@ class Yukawa(Helmholtz):
 
     real = True
 
-    def __init__(self, kappa: float, p: int | None = None, tolerance: float = 1e-3, vectors: int = 1, gradients: bool = False):
+    def __init__(self, kappa: float, p: int | None = None, tolerance: float = 1e-3, vectors: int = 1, gradients: bool = False, strategy: str = "auto"):
         if kappa <= 0:
             raise ValueError("kappa must be positive")
-        super().__init__(1j * kappa, p, tolerance, vectors, gradients)
+        super().__init__(1j * kappa, p, tolerance, vectors, gradients, strategy)

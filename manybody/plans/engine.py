@@ -301,19 +301,19 @@ class Engine:
         return _merged(v.unionByName(x.select("target", "values").mapInArrow(close, "key long, c array<double>")), m * size)
 
 
-def LaplaceEngine(p: int | None = None, tolerance: float = 1e-3, gradients: bool = False, vectors: int = 1, dipole: bool = False, **tree_settings) -> Engine:
+def LaplaceEngine(p: int | None = None, tolerance: float = 1e-3, gradients: bool = False, vectors: int = 1, dipole: bool = False, strategy: str = "auto", **tree_settings) -> Engine:
     """An engine for charges q (q0, q1, ... for several vectors) and with dipole moments mx, my, mz."""
-    return Engine(Laplace(degree_for(tolerance) if p is None else p, vectors, gradients, dipole), **tree_settings)
+    return Engine(Laplace(degree_for(tolerance) if p is None else p, vectors, gradients, dipole, strategy), **tree_settings)
 
 
-def HelmholtzEngine(k: complex, p: int | None = None, tolerance: float = 1e-3, gradients: bool = False, vectors: int = 1, **tree_settings) -> Engine:
+def HelmholtzEngine(k: complex, p: int | None = None, tolerance: float = 1e-3, gradients: bool = False, vectors: int = 1, strategy: str = "auto", **tree_settings) -> Engine:
     """An engine for complex charges q_re, q_im and the wave number k."""
-    return Engine(Helmholtz(k, p, tolerance, vectors, gradients), **tree_settings)
+    return Engine(Helmholtz(k, p, tolerance, vectors, gradients, strategy), **tree_settings)
 
 
-def YukawaEngine(kappa: float, p: int | None = None, tolerance: float = 1e-3, gradients: bool = False, vectors: int = 1, **tree_settings) -> Engine:
+def YukawaEngine(kappa: float, p: int | None = None, tolerance: float = 1e-3, gradients: bool = False, vectors: int = 1, strategy: str = "auto", **tree_settings) -> Engine:
     """An engine for real charges q screened with kappa."""
-    return Engine(Yukawa(kappa, p, tolerance, vectors, gradients), **tree_settings)
+    return Engine(Yukawa(kappa, p, tolerance, vectors, gradients, strategy), **tree_settings)
 
 
 def _merged(parts: DataFrame, size: int) -> DataFrame:
