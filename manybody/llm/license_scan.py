@@ -128,36 +128,43 @@ def words_form(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(lowered, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "), "^ | $", ""), F.lit(" "))
 
 
+#: Matches are marked before their first and after their last word, and the words' numbers are read off: linear in the text.
 _PLACES = """
-flatten(transform(filter(ls_rules, r -> exists(r.kw, k -> contains(ls_words, k))), r -> aggregate(
-  zip_with(regexp_extract_all(ls_words, r.re, 0), split(ls_words, r.re, -1), (m, f) -> case when m is not null then named_struct('f', f, 'm', m) end),
-  named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,p:int,label:string,base:boolean,id:int>>)),
-  (a, x) -> case when x is null then a else named_struct(
-    'at', a.at + length(x.f) - length(replace(x.f, ' ', '')) + length(x.m) - length(replace(x.m, ' ', '')),
-    'out', concat(a.out, array(named_struct(
-      's', a.at + length(x.f) - length(replace(x.f, ' ', '')) - 1,
-      'e', a.at + length(x.f) - length(replace(x.f, ' ', '')) + length(x.m) - length(replace(x.m, ' ', '')),
-      'p', r.p, 'label', r.label, 'base', r.base, 'id', r.id)))) end,
-  a -> a.out)))
+flatten(transform(filter(ls_rules, r -> exists(r.kw, k -> contains(ls_words, k)) and rlike(ls_words, r.re)), r -> element_at(transform(
+  array(split(regexp_replace(ls_words, r.re, '\x01$0\x02'), ' ')),
+  w -> zip_with(
+    filter(transform(w, (x, i) -> case when startswith(x, '\x01') then i - 1 end), i -> i is not null),
+    filter(transform(w, (x, i) -> case when endswith(x, '\x02') then i end), i -> i is not null),
+    (s, e) -> named_struct('s', s, 'e', e, 'p', r.p, 'label', r.label, 'base', r.base, 'id', r.id))), 1)))
 """
 
+_FOUND = "array<struct<s:int,e:int,p:int,label:string,base:boolean,id:int>>"
 #: In order of (start, -end, priority): best[p] is the largest end of priority p so far; one within such an end goes.
-_KEPT = """
-aggregate(
-  array_sort(ls_found, (x, y) -> case when x.s <> y.s then x.s - y.s when x.e <> y.e then y.e - x.e when x.p <> y.p then x.p - y.p else x.id - y.id end),
-  named_struct('best', array_repeat(-1, 8), 'out', cast(array() as array<struct<s:int,e:int,p:int,label:string,base:boolean,id:int>>)),
-  (a, x) -> named_struct(
-    'best', transform(a.best, (v, i) -> case when i = x.p then greatest(v, x.e) else v end),
-    'out', case when x.base or not exists(slice(a.best, 1, x.p + 1), v -> v >= x.e) then concat(a.out, array(x)) else a.out end),
-  a -> a.out)
+#: What stays is gathered by 256, as appending to one array copies it each time.
+_KEPT = f"""
+element_at(transform(
+  array(array_sort(ls_found, (x, y) -> case when x.s <> y.s then x.s - y.s when x.e <> y.e then y.e - x.e when x.p <> y.p then x.p - y.p else x.id - y.id end)),
+  f -> aggregate(
+    sequence(0, (size(f) - 1) div 256),
+    named_struct('best', array_repeat(-1, 8), 'out', cast(array() as {_FOUND}), 'outs', cast(array() as array<{_FOUND}>)),
+    (a, i) -> aggregate(
+      slice(f, int(i * 256 + 1), 256),
+      named_struct('best', a.best, 'out', cast(array() as {_FOUND}), 'outs', concat(a.outs, array(a.out))),
+      (c, x) -> named_struct(
+        'best', transform(c.best, (v, k) -> case when k = x.p then greatest(v, x.e) else v end),
+        'out', case when x.base or not exists(slice(c.best, 1, x.p + 1), v -> v >= x.e) then concat(c.out, array(x)) else c.out end,
+        'outs', c.outs)),
+    a -> flatten(concat(a.outs, array(a.out))))), 1)
 """
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs with n_words and licenses added: the kept detections (s, e: words from s up to e; p: priority; label; base; id: rule).
 
-    docs needs text; null or empty texts have no words and no detections. A rule
-    of equal priority that starts and ends alike goes after the one listed first.
+    docs needs text; null or empty texts have no words and no detections. Repeated rows
+    stay; columns named n_words and licenses are replaced, those that begin with ls_ are
+    the scan's own. A rule of equal priority that starts and ends alike goes after the one
+    listed first.
     """
     rule = F.from_json(F.lit(json.dumps(rules())), SCHEMA)
     gate = None

@@ -58,3 +58,11 @@ def test_query_over_nulls(spark, tmp_path):
     spark.createDataFrame([(1, None), (None, "cc by nc"), (1, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(x)[1:7] for x in ls.op3_license_scan(spark, str(tmp_path)).collect()}
     assert got == {(0, 0, None, None, "", ""), (3, 1, 0, 0, "cc-by-nc", "cc-by-nc"), (1, 0, None, None, "", "")}
+
+
+def test_many_matches_in_one_text(spark):
+    """A text that names a license 20,000 times is scanned in time that its length asks for."""
+    n = 20_000
+    docs = spark.createDataFrame([(1, "under the MIT license, " * n), (2, "x " * n + "cc by nc")], "doc_id long, text string")
+    got = {r.doc_id: r for r in ls.scan(docs).selectExpr("doc_id", "n_words", "size(filter(licenses, x -> x.base)) AS b", "licenses[0].s AS s", "licenses[size(licenses) - 1].e AS e").collect()}
+    assert got[1][1:] == (4 * n, n, 0, 4 * n) and got[2].b == 1 and got[2].e == n + 3
