@@ -3,8 +3,9 @@
 Samples are read back from the stored bytes, resampled by a polyphase filter,
 cut into overlapping frames for log-mel energies, and segmented by energy with
 hysteresis (a segment opens above one level and ends below a lower one).
-Features are fixed-shape Arrow tensors: BANDS values for each of SLOTS equal
-spans of the frames, with the time span of each slot and segment.
+Features are stored as fixed-shape Arrow tensors: an Arrow stream a document,
+with a row for each window of WINDOW frames that holds its time span and a
+WINDOW x BANDS tensor, as many windows as the media needs.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-RATE, UP, DOWN = 16_000, 1, 2
+#: 16 kHz to 10 kHz: the filter has UP phases.
+RATE, UP, DOWN = 16_000, 5, 8
 TAPS = 32
-FRAME, HOP, FFT, BANDS, SLOTS = 200, 100, 256, 16, 8
+#: Frames of 25 ms every 12.5 ms; a tensor holds 0.2 s.
+FRAME, HOP, FFT, BANDS, WINDOW = 250, 125, 256, 16, 16
+#: What log-mel energies are at least; frames after the last one hold it.
+FLOOR = 1e-6
 #: Hysteresis levels, as parts of the way from the quiet (10 %) to the loud (90 %) energy.
 OPEN, CLOSE = 0.6, 0.4
 #: Samples filtered at once.
@@ -94,7 +99,7 @@ def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i in range(0, n, 2048):
         part = frames[i : i + 2048] * _WINDOW
         power = np.abs(np.fft.rfft(part, FFT)) ** 2
-        mels[i : i + 2048] = np.log(power @ _MEL + 1e-6)
+        mels[i : i + 2048] = np.log(power @ _MEL + FLOOR)
         energy[i : i + 2048] = np.log((part * part).mean(axis=1) + 1e-9)
     return mels, energy
 
@@ -115,8 +120,13 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def features(samples: bytes) -> tuple[np.ndarray, list[tuple[float, float]], list[tuple[float, float]]]:
-    """A SLOTS x BANDS tensor of mean log-mel energies, the slots' time spans, and the segments' time spans, in seconds."""
+def seconds(frame: int) -> float:
+    """When a frame begins."""
+    return frame * HOP * DOWN / UP / RATE
+
+
+def features(samples: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """The log-mel energies of all frames, as windows x WINDOW x BANDS, and the segments' time spans in seconds."""
     raw = np.frombuffer(samples, np.uint8)
     step = PIECE - PIECE % (DOWN * HOP)
     parts = []
@@ -125,10 +135,29 @@ def features(samples: bytes) -> tuple[np.ndarray, list[tuple[float, float]], lis
         back = min(lo, reach)
         parts.append(resample(raw[lo - back : lo + step].astype(np.float64) / 128 - 1)[back * UP // DOWN :])
     mels, energy = log_mel(np.concatenate(parts))
-    bounds = np.arange(SLOTS + 1) * len(mels) // SLOTS
-    tensor = np.stack([mels[a : max(b, a + 1)].mean(axis=0) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-    second = lambda f: f * HOP * DOWN / UP / RATE
-    return tensor.astype(np.float32), [(second(int(a)), second(int(max(b, a + 1)))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], [(second(a), second(b)) for a, b in segments(energy)]
+    windows = np.full((-(-len(mels) // WINDOW) * WINDOW, BANDS), np.log(FLOOR), np.float32)
+    windows[: len(mels)] = mels
+    return windows.reshape(-1, WINDOW, BANDS), [(seconds(a), seconds(b)) for a, b in segments(energy)]
+
+
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [WINDOW, BANDS])
+STORED = pa.schema([("start", pa.float64()), ("end", pa.float64()), ("log_mel", TENSOR)])
+
+
+def stored_tensors(windows: np.ndarray) -> bytes:
+    """An Arrow stream of the windows' time spans and tensors."""
+    n = np.arange(len(windows))
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(windows.ravel()), WINDOW * BANDS)
+    batch = pa.record_batch([pa.array(seconds(n * WINDOW)), pa.array(seconds((n + 1) * WINDOW)), pa.ExtensionArray.from_storage(TENSOR, flat)], schema=STORED)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, STORED) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def read_tensors(data: bytes) -> pa.Table:
+    """start, end and log_mel (a fixed-shape tensor) of each window."""
+    return pa.ipc.open_stream(data).read_all()
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -137,39 +166,32 @@ def payload(text: str | None) -> tuple[bytes, int]:
     return raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw)), len(raw)
 
 
-SCHEMA = "doc_id long, n_bytes long, media binary, tensor array<float>, shape array<int>, slots array<struct<s:double,e:double>>, segments array<struct<s:double,e:double>>"
+SCHEMA = "doc_id long, n_bytes long, media binary, tensors binary, segments array<struct<s:double,e:double>>"
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) as stored media and their features.
+    """docs(doc_id, text) as stored media and their features; one row per row of docs, other columns do not matter.
 
-    tensor is the row-major content of the fixed shape in shape (see `tensors` for
-    the Arrow type). Null and empty texts are 192 spaces: silence without segments.
+    tensors is an Arrow stream (see `read_tensors`); its last window is filled up with
+    silence. Null and empty texts are 192 spaces: one window without segments.
     """
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            rows = [[] for _ in range(6)]
+            rows = [[] for _ in range(4)]
             for t in b.column("text").to_pylist():
                 p, n = payload(t)
                 stored = wav(p)
-                tensor, slots, segs = features(wav_samples(stored))
-                for c, v in zip(rows, (n, stored, tensor.ravel(), [SLOTS, BANDS], [{"s": s, "e": e} for s, e in slots], [{"s": s, "e": e} for s, e in segs]), strict=True):
+                windows, segs = features(wav_samples(stored))
+                for c, v in zip(rows, (n, stored, stored_tensors(windows), [{"s": s, "e": e} for s, e in segs]), strict=True):
                     c.append(v)
-            span = pa.list_(pa.struct([("s", pa.float64()), ("e", pa.float64())]))
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.float32()), pa.list_(pa.int32()), span, span)
-            yield pa.record_batch([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=["doc_id", "n_bytes", "media", "tensor", "shape", "slots", "segments"])
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("s", pa.float64()), ("e", pa.float64())])))
+            yield pa.record_batch([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=["doc_id", "n_bytes", "media", "tensors", "segments"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def tensors(media_table: pa.Table) -> pa.FixedShapeTensorArray:
-    """The tensor column of collected media rows as a fixed-shape Arrow tensor array."""
-    flat = media_table.column("tensor").combine_chunks().flatten()
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [SLOTS, BANDS]), pa.FixedSizeListArray.from_arrays(flat, SLOTS * BANDS))
-
-
 def op8_audio_features(spark, sf_dir: str) -> DataFrame:
     """Digests of every document's media, all of them read back from the stored form."""
     rows = media(table(spark, sf_dir, "documents"))
@@ -177,10 +199,10 @@ def op8_audio_features(spark, sf_dir: str) -> DataFrame:
     def run(batches):
         for b in batches:
             out = [[] for _ in range(6)]
-            for stored, tensor, segs in zip(b.column("media"), b.column("tensor"), b.column("segments"), strict=True):
+            for stored, tensor, segs in zip(b.column("media"), b.column("tensors"), b.column("segments"), strict=True):
                 stored = stored.as_py()
                 p = wav_samples(stored)
-                t = np.round(tensor.values.to_numpy(), 3) + 0.0
+                t = np.round(read_tensors(tensor.as_py()).column("log_mel").combine_chunks().to_numpy_ndarray(), 3) + 0.0
                 mark = f"{len(segs)}:{hashlib.sha256(t.astype('<f4').tobytes() + repr(segs.as_py()).encode()).hexdigest()[:24]}"
                 for c, v in zip(out, (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), mark), strict=True):
                     c.append(v)
