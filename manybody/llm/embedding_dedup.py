@@ -211,3 +211,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """All rows of embeddings against all, cosine >= 0.9."""
     return near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+#: All pairs by cosine, and the smallest vec_id that links reach. Equal rows of one vec_id do not occur in the tables.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), links AS (SELECT a, count(*) AS n FROM link GROUP BY a
+), lowest AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN links ON links.a = vec_id LEFT JOIN lowest ON lowest.a = vec_id
+"""

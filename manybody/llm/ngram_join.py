@@ -510,6 +510,31 @@ def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+#: Word sets by an inverted list of each set's rarest shingles (a pair that links shares one of the first n - ceil(0.9 n) + 1
+#: in one order of all shingles), decided by whole intersections. Every doc_id occurs once in the tables.
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), d AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM w
+), one AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM d
+), rare AS (SELECT g, count(*) AS c FROM one GROUP BY g
+), lead AS (
+  SELECT doc_id, g, n FROM one JOIN rare USING (g) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c, g) <= n - (90 * n + 99) // 100 + 1
+), pair AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM lead a JOIN lead b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+), half AS (
+  SELECT a, b FROM (SELECT p.a, p.b, len(x.s) + len(y.s) AS n, len(list_intersect(x.s, y.s)) AS both_n FROM pair p JOIN d x ON x.doc_id = p.a JOIN d y ON y.doc_id = p.b) WHERE 100 * both_n >= 90 * (n - both_n)
+), link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half
+), reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), links AS (SELECT a, count(*) AS n FROM link GROUP BY a
+), lowest AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(n, 0) AS n_links, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM d LEFT JOIN links ON links.a = doc_id LEFT JOIN lowest ON lowest.a = doc_id
+"""
+
+
 def stage_ngram_join(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of linked documents (5-word shingles, 80 of 100) the one of smallest doc_id stays.
 

@@ -2,10 +2,12 @@
 
 from .audio import op8_audio_features
 from .bpe_sql import op9_byte_bpe
+from .embedding_dedup import ORACLE as DEDUP_SQL
 from .embedding_dedup import op1_embedding_dedup
 from .language_id import op7_language_id
 from .license_scan import op3_license_scan
 from .mixing import op6_mixing
+from .ngram_join import ORACLE as JOIN_SQL
 from .ngram_join import op10_ngram_jaccard_join
 from .sstable import op2_token_shards
 from .toxicity import op4_toxicity
@@ -25,4 +27,4 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES = {"op5_warc_revisit": WARC_SQL}
+ORACLES = {"op1_embedding_dedup": DEDUP_SQL, "op5_warc_revisit": WARC_SQL, "op10_ngram_jaccard_join": JOIN_SQL}
