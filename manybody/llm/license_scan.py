@@ -17,12 +17,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_signatures import SIGNATURES
 
 #: Phrases that every scan reports, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 #: A row is scanned if it holds one of these; every rule's matches do.
-ROOTS = ("licen", "spdx", " cc ", "creative commons", "public domain", "gpl", "copyright", "copyleft")
+ROOTS = (
+    "licen", "spdx", " cc ", "cc by", " cc0", "creative commons", "creativecommons", "public domain", "gpl", "copyright", "copyleft",
+    "eupl", "lppl", "eclipse org", "mozilla org", "permission", "without restriction", "provided as is", "as is basis", "disclaims all",
+    "redistribution", "endorse or promote", "all advertising", "advertising", "regents of", "includes software", "includes cryptographic",
+    "same terms as", "kernel services", "embed this font", "your agreement", "altered source versions", "jpeg group", "mulan psl",
+    "you just do what", "good not evil", "datenlizenz", "commons clause", "confidential", "strictly prohibited", "may not be reproduced",
+    "commercial use", "permitted", "gcc runtime library", "neighboring rights", "mit no attribution", "llvm exceptions", "terms of use", "open font",
+)
 
 # label: (words one of which every form of the name holds, the name's forms as a regular expression on words)
 NAMES = {
@@ -53,7 +61,7 @@ NAMES = {
     "boost-1": ("boost|bsl", "(?:boost software license|bsl)(?: version| v)? ?1(?: 0)?"),
     "zlib": ("zlib", "zlib(?: libpng)?"),
     "unlicense": ("unlicense", "unlicense"),
-    "wtfpl": ("wtf", "(?:wtfpl|do what the fuck you want to public license)"),
+    "wtfpl": ("wtf|do what the fuck", "(?:wtfpl|do what the fuck you want to public license)"),
     "cc0-1": ("cc0|cc zero|creative commons", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?"),
     "cc-by-3": ("cc by|creative commons", "(?:cc by|creative commons attribution) 3 0"),
     "cc-by-4": ("cc by|creative commons", "(?:cc by|creative commons attribution) 4 0"),
@@ -115,7 +123,7 @@ def rules() -> list[dict]:
             if p == 5 and "licen" in name and not after:
                 continue
             out.append({"label": label, "p": p, "kw": word.split("|"), "re": f"{before}{name}{after}", "base": False})
-    out += [{"label": label, "p": p, "kw": [kw], "re": x, "base": False} for label, p, kw, x in OTHERS]
+    out += [{"label": label, "p": p, "kw": kw.split("|"), "re": x, "base": False} for label, p, kw, x in (*OTHERS, *SIGNATURES)]
     return [r | {"re": f"(?<= )(?:{r['re']})(?= )", "id": i} for i, r in enumerate(out)]
 
 

@@ -66,3 +66,67 @@ def test_many_matches_in_one_text(spark):
     docs = spark.createDataFrame([(1, "under the MIT license, " * n), (2, "x " * n + "cc by nc")], "doc_id long, text string")
     got = {r.doc_id: r for r in ls.scan(docs).selectExpr("doc_id", "n_words", "size(filter(licenses, x -> x.base)) AS b", "licenses[0].s AS s", "licenses[size(licenses) - 1].e AS e").collect()}
     assert got[1][1:] == (4 * n, n, 0, 4 * n) and got[2].b == 1 and got[2].e == n + 3
+
+
+def sampled(tree, r):
+    """A random text that a parsed expression matches."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "NOT_LITERAL":
+            out += r.choice("abc")
+        elif name == "IN":
+            kind, v = arg[0]
+            chars = "abc" if str(kind) == "NEGATE" else [chr(x[1]) if str(x[0]) == "LITERAL" else chr(r.randint(*x[1])) for x in arg]
+            out += r.choice(chars)
+        elif name == "MAX_REPEAT" or name == "MIN_REPEAT":
+            out += "".join(sampled(arg[2], r) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 3))))
+        elif name == "SUBPATTERN":
+            out += sampled(arg[-1], r)
+        elif name == "BRANCH":
+            out += sampled(r.choice(arg[1]), r)
+        elif name in ("ASSERT", "ASSERT_NOT", "AT"):
+            pass
+        else:
+            raise ValueError(name)
+    return out
+
+
+def test_every_match_passes_the_prefilters():
+    """Texts made from each expression hold one of its keywords and one of the roots."""
+    import re._parser as parser
+
+    r = random.Random(7)
+    for rule in ls.rules():
+        tree = parser.parse(rule["re"])
+        for _ in range(40):
+            text = f" {sampled(tree, r)} "
+            if not re.search(rule["re"], text):
+                continue  # an alternative that ends at a space of its own
+            assert any(k in text for k in rule["kw"]), (rule, text)
+            assert any(k in text for k in ls.ROOTS), (rule, text)
+
+
+NOTICES = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)": "mit",
+    "SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note": "gpl-2-linux-syscall",
+    "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl-2+",
+    "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version": "agpl-3+",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-3-clause",
+    "This is free and unencumbered software released into the public domain.": "public-domain,unlicense",
+    "Distributed under the Boost Software License, Version 1.0.": "boost-1",
+    "see https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa-4",
+    "This work is under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+    "The Software shall be used for Good, not Evil.": "json",
+    "we walked along the river and spoke of the weather": "",
+}
+
+
+def test_notices_of_known_licenses(spark):
+    docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    got = {r.text: set(r.labels) for r in ls.scan(docs).selectExpr("text", "transform(licenses, x -> x.label) AS labels").collect()}
+    for text, labels in NOTICES.items():
+        assert set(filter(None, labels.split(","))) <= got[text] and bool(labels) == bool(got[text]), (text, got[text])
