@@ -116,7 +116,7 @@ NOTICES = {
     "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version": "agpl-3+",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-3-clause",
-    "This is free and unencumbered software released into the public domain.": "public-domain,unlicense",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
     "Distributed under the Boost Software License, Version 1.0.": "boost-1",
     "see https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa-4",
     "This work is under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
