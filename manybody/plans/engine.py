@@ -28,7 +28,7 @@ from ..functions import morton as mk
 from ..functions.harmonics import far_offsets
 from ..operators.kernels import Helmholtz, Kernel, Laplace, Yukawa, degree_for
 from ..work import dealt, saved
-from . import tree
+from . import near, tree
 
 PACK = 512
 #: Place of each far offset (7 x 7 x 7 cells around 0) among the far matrices; -1: near.
@@ -67,12 +67,15 @@ def _rows(keys, values) -> pa.RecordBatch:
 
 
 class Engine:
-    """Settings: kernel, max_points_per_leaf, max_level, min_level, domain (a cube: corner and three equal sides)."""
+    """Settings: kernel, max_points_per_leaf, max_level, min_level, domain (a cube: corner and three equal sides), near.
 
-    def __init__(self, kernel: Kernel, max_points_per_leaf: int = 64, max_level: int = mk.DEPTH, min_level: int = 0, domain: tuple[float, ...] | None = None):
+    near is a rule of `near`: W and X pairs between leaves that it holds for are summed directly.
+    """
+
+    def __init__(self, kernel: Kernel, max_points_per_leaf: int = 64, max_level: int = mk.DEPTH, min_level: int = 0, domain: tuple[float, ...] | None = None, near=None):
         if not 0 <= max_level <= mk.DEPTH or max_points_per_leaf < 1:
             raise ValueError("max_level must be 0..16, max_points_per_leaf at least 1")
-        self.kernel, self.cap, self.max_level, self.min_level, self.domain = kernel, max_points_per_leaf, max_level, min_level, domain
+        self.kernel, self.cap, self.max_level, self.min_level, self.domain, self.near = kernel, max_points_per_leaf, max_level, min_level, domain, near
 
     def build(self, sources: DataFrame, targets: DataFrame) -> "Engine":
         """sources(source_id, x, y, z) and targets(point_id, x, y, z): makes domain, tree and lists.
@@ -95,8 +98,18 @@ class Engine:
         self.lists = saved(tree.lists(self.boxes), "lists")
         self.sources = saved(tree.leaf_of(s, self.boxes).drop("key16"), "sources")
         self.targets = saved(tree.leaf_of(t, self.boxes).drop("key16"), "targets")
+        if self.near is not None:
+            self.lists = saved(near.converted(self.lists, self.counts(), self.near), "lists")
         return self
 
+    def counts(self) -> DataFrame:
+        """Sources and targets of every box."""
+        return near.box_counts(self.boxes, self.sources, self.targets)
+
+    def work(self, unit: str = "pairs") -> DataFrame:
+        """The work on each box by kind."""
+        return near.work(self.lists, self.counts(), unit)
+
     def list_sizes(self) -> DataFrame:
         """Pairs of each interaction list."""
         return self.lists.groupBy("kind").agg(F.count("*").alias("pairs"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import morton as mk
 from .operators import direct, metrics
-from .plans import sets, tree
+from .plans import near, sets, tree
 from .plans.engine import HelmholtzEngine, LaplaceEngine, YukawaEngine
 from .sources import points as src
 
@@ -318,7 +318,49 @@ def fmm_potentials(spark, d):
     return engine.evaluate(o)
 
 
-QUERIES = {f.__name__: f for f in (morton_encode, morton_decode, morton_relations, morton_neighbours, box_occupancy, adaptive_leaves, tree_statistics, leaf_lookup, balanced_leaves, list_counts, domain_cube, direct_laplace, direct_dipole, direct_yukawa, direct_helmholtz, uniform_near_pairs, work_cut, heaviest_boxes, laplace_fmm, adaptive_fmm, dipole_fmm, two_vector_fmm, yukawa_fmm, helmholtz_fmm, error_norm, error_by_box, worst_boxes, error_summary, charge_magnitudes, scaled_errors, degree_norms, worst_degrees, completed_tree, region_gaps, ancestor_closure, linear_part, coarse_blocks, csr_offsets, rank_in_box, nearest_cut, coarse_owners, box_geometry, fmm_potentials)}
+def _listed(spark, d):
+    """Lists and counts of a balanced tree of the orders' points, crowded in a corner; keys divisible by 3 are targets, the others sources."""
+    cubed = _orders(spark, d).select("point_id", *[(F.col(a) * F.col(a) * F.col(a)).alias(a) for a in "xyz"])
+    keys = tree.keyed(cubed, UNIT)
+    b = tree.saved(tree.balanced(tree.levels(keys, 40, max_level=6)), "boxes")
+    points = tree.saved(tree.leaf_of(keys, b).select("point_id", "leaf"), "points")
+    third = F.pmod("point_id", F.lit(3)) == 0
+    return tree.saved(tree.lists(b), "lists"), tree.saved(near.box_counts(b, points.where(~third), points.where(third)), "counts")
+
+
+def box_counts(spark, d):
+    return _listed(spark, d)[1].select("key", F.col("sources").cast("long").alias("sources"), F.col("targets").cast("long").alias("targets"))
+
+
+def near_rule(spark, d):
+    """Pairs of each list after V, W and X pairs between leaves with fewer than 200 products became near pairs."""
+    lists, counts = _listed(spark, d)
+    out = near.converted(lists, counts, near.by_products(200), ("V", "W", "X"))
+    return out.groupBy("kind").agg(F.count("*").alias("pairs"))
+
+
+def empty_pairs(spark, d):
+    """What leaving out empty boxes takes from each list."""
+    lists, counts = _listed(spark, d)
+    return near.left_out(lists, counts)
+
+
+def work_by_block(spark, d):
+    """Work by kind in each box of level 1; box 0 is what lies above."""
+    lists, counts = _listed(spark, d)
+    blocks = counts.where(mk.level("key") == 1).select("key")
+    return near.by_block(near.work(lists, counts), blocks).select(F.coalesce("block", F.lit(0).cast("long")).alias("block"), "kind", "n")
+
+
+def modelled_cost(spark, d):
+    """Cost of each box of level 1 with M2L counted by boxes; box 0 is what lies above."""
+    lists, counts = _listed(spark, d)
+    model = near.CostModel("boxes", P2P=1.0, M2L=400.0, P2M=16.0, L2P=16.0, M2M=128.0, L2L=128.0)
+    rows = near.by_block(near.work(lists, counts, model.unit), counts.where(mk.level("key") == 1).select("key"))
+    return model.cost(rows.select(F.coalesce("block", F.lit(0).cast("long")).alias("block"), "kind", "n"), "block")
+
+
+QUERIES = {f.__name__: f for f in (morton_encode, morton_decode, morton_relations, morton_neighbours, box_occupancy, adaptive_leaves, tree_statistics, leaf_lookup, balanced_leaves, list_counts, domain_cube, direct_laplace, direct_dipole, direct_yukawa, direct_helmholtz, uniform_near_pairs, work_cut, heaviest_boxes, laplace_fmm, adaptive_fmm, dipole_fmm, two_vector_fmm, yukawa_fmm, helmholtz_fmm, error_norm, error_by_box, worst_boxes, error_summary, charge_magnitudes, scaled_errors, degree_norms, worst_degrees, completed_tree, region_gaps, ancestor_closure, linear_part, coarse_blocks, csr_offsets, rank_in_box, nearest_cut, coarse_owners, box_geometry, box_counts, near_rule, empty_pairs, work_by_block, modelled_cost, fmm_potentials)}
 
 _K = f"k AS (SELECT point_id, q, {_key_sql(LEVEL)} AS key FROM o)"
 _IJK = ", ".join(f"least(CAST(floor({v} * {1 << LEVEL}) AS BIGINT), {(1 << LEVEL) - 1}) AS {i}" for v, i in zip("xyz", "ijk"))
@@ -367,6 +409,23 @@ _DEGREES = "u AS (SELECT vec_id AS key, unnest(range(16)) AS i, unnest(embedding
 C_SQL = "e AS (SELECT point_id, x * x * x AS x, y * y * y AS y, z * z * z AS z, q FROM (SELECT vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, label - 4.5::DOUBLE AS q FROM embeddings))"
 
 
+# boxes with the points of their subtrees, and the pairs of the four lists with both boxes' columns
+_CROWDED = _SPLIT.replace(f"SELECT o_orderkey, {_XYZ} FROM orders", f"SELECT o_orderkey, x * x * x AS x, y * y * y AS y, z * z * z AS z FROM (SELECT o_orderkey, {_XYZ} FROM orders)")
+_COUNTED = f"""{_CROWDED}, n AS (SELECT l, i >> (16 - l) AS i, j >> (16 - l) AS j, k >> (16 - l) AS k, count(*) FILTER (o_orderkey % 3 <> 0) AS ns, count(*) FILTER (o_orderkey % 3 = 0) AS nt FROM p, (SELECT CAST(range AS INTEGER) AS l FROM range(8)) GROUP BY ALL),
+q AS (SELECT box.*, coalesce(ns, 0) AS ns, coalesce(nt, 0) AS nt, {_ijk_key("l")} AS key, CASE WHEN l > 0 THEN {_ijk_key("1", "i >> (l - 1)", "j >> (l - 1)", "k >> (l - 1)")} END AS block FROM box LEFT JOIN n USING (l, i, j, k)),
+pair AS (SELECT 'U' AS kind, a, b FROM q a JOIN q b ON a.leaf AND b.leaf AND a.key <> b.key AND {_touch("a", "b")}
+UNION ALL SELECT 'V', a, b FROM q a JOIN q b ON a.l = b.l AND a.l > 0 AND {_touch("a", "b", 1, 1)} AND (a.i >> 1, a.j >> 1, a.k >> 1) <> (b.i >> 1, b.j >> 1, b.k >> 1) AND NOT {_touch("a", "b")}
+UNION ALL SELECT x.kind, CASE WHEN x.kind = 'W' THEN a ELSE b END, CASE WHEN x.kind = 'W' THEN b ELSE a END FROM q a JOIN q b ON a.leaf AND b.l > a.l AND {_touch("a", "b", 0, 1)} AND NOT {_touch("a", "b")} AND NOT {_within("b", "a")}, (VALUES ('W'), ('X')) x(kind))"""
+
+
+def _work_sql(m2l: str) -> str:
+    return f"""{_COUNTED}, work AS (SELECT block, kind, CAST(sum(n) AS BIGINT) AS n FROM (
+SELECT block, unnest(['P2M', 'M2M', 'L2L', 'L2P', 'P2P']) AS kind, unnest([CASE WHEN leaf THEN ns ELSE 0 END, CASE WHEN leaf THEN 0 ELSE 8 END, CASE WHEN l >= 3 THEN 1 ELSE 0 END, CASE WHEN leaf THEN nt ELSE 0 END, CASE WHEN leaf THEN ns * nt ELSE 0 END]) AS n FROM q
+UNION ALL SELECT a.block, 'M2L', {m2l} FROM pair WHERE kind = 'V' GROUP BY a.block
+UNION ALL SELECT a.block, CASE kind WHEN 'X' THEN 'P2L' WHEN 'W' THEN 'M2P' ELSE 'P2P' END, CASE kind WHEN 'X' THEN b.ns WHEN 'W' THEN a.nt ELSE a.nt * b.ns END FROM pair WHERE kind <> 'V'
+) GROUP BY block, kind HAVING sum(n) > 0)"""
+
+
 def _grad(factor: str, digits: int) -> str:
     return ", ".join(f"round(sum(-s.q * {factor} * (t.{a}-s.{a}) / ({_R} * {_R} * {_R}) * {_F}), {digits}) + 0 AS g{a}" for a in "xyz")
 
@@ -418,4 +477,9 @@ UNION ALL SELECT x.kind, count(*) FROM box a JOIN box b ON a.leaf AND b.l > a.l
     "nearest_cut": f"WITH {O_SQL}, {_CUTS} SELECT key, n, (SELECT count(*) FROM cut WHERE first_key <= r.key) AS part FROM r",
     "coarse_owners": f"WITH {O_SQL}, {_CUTS} SELECT a.key, (SELECT count(*) FROM cut WHERE first_key <= a.key) AS first, (SELECT count(*) FROM cut WHERE first_key <= a.key::HUGEINT - 1 + (1::BIGINT << 60) - 32768 + 16) AS last FROM (SELECT DISTINCT CAST({_anc_sql('key', '1')} AS BIGINT) AS key FROM k) a",
     "box_geometry": f"WITH {O_SQL}, b AS (SELECT point_id, x, {_IJK} FROM o) SELECT point_id, 1 / 64.0::DOUBLE AS radius, (2 * i + 1) / 64.0::DOUBLE AS cx, (2 * j + 1) * 2048 AS iy, (l + 1) / 32.0::DOUBLE AS top_z, CASE WHEN i % 2 = 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS up_x, x * 64 - (2 * i + 1) AS lx FROM (SELECT point_id, x, i, j, k AS l FROM b)",
+    "box_counts": f"WITH RECURSIVE {_COUNTED} SELECT key, ns AS sources, nt AS targets FROM q",
+    "near_rule": f"WITH RECURSIVE {_COUNTED} SELECT CASE WHEN a.leaf AND b.leaf AND b.ns * a.nt < 200 THEN 'U' ELSE kind END AS kind, count(*) AS pairs FROM pair GROUP BY 1",
+    "empty_pairs": f"WITH RECURSIVE {_COUNTED} SELECT kind, count(*) FILTER (a.nt = 0) AS without_targets, count(*) FILTER (a.nt > 0 AND b.ns = 0) AS without_sources FROM pair GROUP BY kind",
+    "work_by_block": f"WITH RECURSIVE {_work_sql('count(*)')} SELECT coalesce(block, 0) AS block, kind, n FROM work",
+    "modelled_cost": f"WITH RECURSIVE {_work_sql('count(DISTINCT a.key)')} SELECT coalesce(block, 0) AS block, CAST(sum(n * CASE kind WHEN 'P2P' THEN 1 WHEN 'M2L' THEN 400 WHEN 'P2M' THEN 16 WHEN 'L2P' THEN 16 WHEN 'M2M' THEN 128 WHEN 'L2L' THEN 128 ELSE 0 END) AS DOUBLE) AS weight FROM work GROUP BY 1",
 }
