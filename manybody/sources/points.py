@@ -7,9 +7,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import morton as mk
+
 
 def uniform(seed: int, salt: int, row: Column | str = "point_id") -> Column:
     """A number in [0, 1) from a hash of (seed, salt, row): 53 bits."""
@@ -17,6 +21,38 @@ def uniform(seed: int, salt: int, row: Column | str = "point_id") -> Column:
     return F.shiftrightunsigned(h, 11) / float(1 << 53)
 
 
+#: The increment and the two multipliers of the SplitMix64 generator (Steele, Lea and Flood, 2014).
+GAMMA, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def splitmix64(seed: int, row: Column | str = "point_id") -> Column:
+    """Output number row (from 0) of the generator with a seed, as the signed long of its 64 bits; null rows give null.
+
+    The generator's state is a multiple of its increment, so any row is made alone, by batches of numbers.
+    """
+
+    @F.pandas_udf("long")
+    def bits(rows: pd.Series) -> pd.Series:
+        known = rows.notna().to_numpy()
+        z = np.uint64(seed % 2**64) + (rows.fillna(0).to_numpy().astype(np.int64).view(np.uint64) + np.uint64(1)) * np.uint64(GAMMA)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX1)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX2)
+        return pd.Series((z ^ (z >> np.uint64(31))).view(np.int64)).astype("Int64").where(known)
+
+    return bits(F.col(row) if isinstance(row, str) else row)
+
+
+def splitmix_uniform(seed: int, row: Column | str = "point_id") -> Column:
+    """Its numbers in [0, 1), from the top 53 bits."""
+    return F.shiftrightunsigned(splitmix64(seed, row), 11) / float(1 << 53)
+
+
+def random_keys(spark: SparkSession, n: int, seed: int = 1, level: int = mk.DEPTH) -> DataFrame:
+    """n uniform keys of a level: point_id, key; keys may repeat."""
+    at = [F.floor(uniform(seed, i) * (1 << level)) for i in range(3)]
+    return _rows(spark, n, key=mk.encode(*at, F.lit(level)))
+
+
 def normal(seed: int, salt: int) -> Column:
     return F.sqrt(-2 * F.log(1 - uniform(seed, salt))) * F.cos(2 * math.pi * uniform(seed, salt + 1))
 
