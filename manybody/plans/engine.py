@@ -83,21 +83,21 @@ class Engine:
         One tree holds both. Null coordinates are an error, as are points outside a given domain.
         """
         s, t = sources.select("source_id", "x", "y", "z"), targets.select("point_id", "x", "y", "z")
-        own = tree.domain_of(s, t)
+        same = sources is targets  # points that are both are read once
+        own = tree.domain_of(s) if same else tree.domain_of(s, t)
         if self.domain is None:
             self.domain = own
         else:
             tree.check_domain(self.domain, own)
-        if s.where("x IS NULL OR y IS NULL OR z IS NULL").union(t.where("x IS NULL OR y IS NULL OR z IS NULL")).limit(1).count():
-            raise ValueError("a coordinate is null")
         self.kernel.side = self.domain[3]
         s, t = tree.keyed(s, self.domain), tree.keyed(t, self.domain)
-        keys = saved(s.select("key16").union(t.select("key16")).distinct(), "keys")
+        keys = saved((s.select("key16") if same else s.select("key16").union(t.select("key16"))).distinct(), "keys")
         self.boxes = saved(tree.balanced(tree.levels(keys, self.cap, self.max_level, self.min_level)), "boxes")
-        self.depth = self.boxes.agg(F.max(mk.level("key"))).first()[0]
+        levels = tree.leaf_levels(self.boxes)
+        self.depth = levels[1]
         self.lists = saved(tree.lists(self.boxes), "lists")
-        self.sources = saved(tree.leaf_of(s, self.boxes).drop("key16"), "sources")
-        self.targets = saved(tree.leaf_of(t, self.boxes).drop("key16"), "targets")
+        self.sources = saved(tree.leaf_of(s, self.boxes, levels=levels).drop("key16"), "sources")
+        self.targets = saved(tree.leaf_of(t, self.boxes, levels=levels).drop("key16"), "targets")
         if self.near is not None:
             self.lists = saved(near.converted(self.lists, self.counts(), self.near), "lists")
         return self

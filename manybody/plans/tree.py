@@ -14,11 +14,16 @@ from ..work import saved
 
 
 def domain_of(*tables: DataFrame) -> tuple[float, ...]:
-    """The cube around all points(x, y, z): the extents' centre, the largest extent times 1 + 2^-16."""
+    """The cube around all points(x, y, z): the extents' centre, the largest extent times 1 + 2^-16.
+
+    No points, a null and a coordinate that is not finite are errors.
+    """
     one = tables[0].select("x", "y", "z")
     for t in tables[1:]:
         one = one.unionByName(t.select("x", "y", "z"))
-    r = one.agg(*[f(a).alias(f"{f.__name__}_{a}") for a in "xyz" for f in (F.min, F.max)]).first()
+    r = one.agg(F.count("*").alias("n"), *[f(a).alias(f"{f.__name__}_{a}") for a in "xyz" for f in (F.min, F.max, F.count)]).first()
+    if any(r[f"count_{a}"] < r["n"] for a in "xyz"):
+        raise ValueError("a coordinate is null")
     low, high = [r[f"min_{a}"] for a in "xyz"], [r[f"max_{a}"] for a in "xyz"]
     if None in low or any(v != v or abs(v) == float("inf") for v in low + high):
         raise ValueError("points must be there and finite")
@@ -113,15 +118,20 @@ def linearised(keys: DataFrame) -> DataFrame:
     return distinct.join(above, "key", "left_anti")
 
 
-def leaf_of(keys: DataFrame, boxes: DataFrame, name: str = "leaf") -> DataFrame:
+def leaf_levels(boxes: DataFrame) -> tuple[int, int]:
+    """The least and the greatest level of the leaves."""
+    return tuple(boxes.where("is_leaf").agg(F.min(mk.level("key")), F.max(mk.level("key"))).first())
+
+
+def leaf_of(keys: DataFrame, boxes: DataFrame, name: str = "leaf", levels: tuple[int, int] | None = None) -> DataFrame:
     """keys(key16, ...) with the leaf that holds each: ancestors on the levels that have leaves are looked up by equality; one is a leaf.
 
-    A null key (a point outside the domain) is an error.
+    A null key (a point outside the domain) is an error; with ``levels``, those of the leaves, the caller has made sure of that.
     """
     leaves = boxes.where("is_leaf").select(F.col("key").alias(name))
-    lo, hi = leaves.agg(F.min(mk.level(name)), F.max(mk.level(name))).first()
-    if keys.where("key16 IS NULL").limit(1).count():
+    if levels is None and keys.where("key16 IS NULL").limit(1).count():
         raise ValueError("a point lies outside the domain")
+    lo, hi = levels or leaf_levels(boxes)
     at = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda v: mk.ancestor(F.col("key16"), v))
     distinct = keys.select("key16").distinct().select("key16", F.explode(at).alias(name)).join(leaves, name)
     return keys.join(distinct, "key16")
