@@ -202,10 +202,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     counts = found.where("other IS NULL").groupBy("vec").agg(F.sum("links").alias("links"))
     labels = components(found.where("other IS NOT NULL").select(F.col("vec").alias("a"), F.col("other").alias("b")))
     nodes = classes.join(counts.withColumnRenamed("vec", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    nodes = materialise(nodes.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("comp"), F.lit(True).alias("good")), "nodes")
-    out = rows.join(nodes, ["embedding", "good"], "left")
-    comp = F.when(F.col("vec_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("comp", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
+    nodes = materialise(nodes.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("comp")), "nodes")
+    # rows that link with nothing stay out of the join: they may be many with one value
+    out = rows.where("good").join(nodes, "embedding").select("vec_id", "n_links", "comp")
+    out = out.unionByName(rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("comp")))
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("comp").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("comp"), F.lit(False)).alias("kept"))
 
 
 def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:
