@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,11 +69,18 @@ def error_of(got: DataFrame, want: DataFrame, columns: list[str], key: str = "po
     return s.select(F.col("s.n").alias("n"), relative(F.col("s")).alias("relative_l2"), F.col("s.worst").alias("max_error"))
 
 
-def magnitudes(targets: DataFrame, sources: DataFrame, scale: float = 1 / (4 * math.pi)) -> DataFrame:
-    """point_id, m1 = sum |q|/r, m2 = sum |q|/r^2: what rounding errors of potentials and gradients are measured by."""
-    p = direct.pairs(targets.select("point_id", "x", "y", "z"), sources.select("x", "y", "z", "q"))
-    q = F.abs(F.col("s_q")) * scale
-    return direct.summed(p, targets, m1=q / F.col("r"), m2=q / F.col("r2"))
+def magnitudes(targets: DataFrame, sources: DataFrame, scale: float = 1 / (4 * math.pi), potentials: bool = False) -> DataFrame:
+    """point_id, m1 = sum |q|/r, m2 = sum |q|/r^2: what rounding errors of potentials and gradients are measured by.
+
+    With potentials also phi = sum q/r, from the same pass over the pairs.
+    """
+
+    def kernel(d, r, inv, s):
+        q = s[0] * scale
+        size = np.abs(q)
+        return [inv @ size, (inv * inv) @ size, *([inv @ q] if potentials else [])]
+
+    return direct.sums(targets, sources, ["q"], ["m1", "m2", *(["phi"] if potentials else [])], kernel)
 
 
 def scaled_error(got: DataFrame, want: DataFrame, columns: list[str], sizes: DataFrame, size: str) -> DataFrame:
