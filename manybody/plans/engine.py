@@ -13,6 +13,8 @@ mathematics; here is what moves where:
 - Locals move down level by level, each to its children.
 - Near points likewise go to families of leaves: a leaf's points are sent to a parent
   once, with the list of its children that need them.
+- Coincident points are one: strengths of sources are added up, targets share a result. The
+  tree's cap counts places, so the near work of a leaf does not grow with the copies of a place.
 - Points of a leaf are packed in rows of at most about PACK points, and the packs of a
   crowded leaf go to tasks of their own.
 """
@@ -98,6 +100,13 @@ class Engine:
         self.lists = saved(tree.lists(self.boxes), "lists")
         self.sources = saved(tree.leaf_of(s, self.boxes, levels=levels).drop("key16"), "sources")
         self.targets = saved(tree.leaf_of(t, self.boxes, levels=levels).drop("key16"), "targets")
+        # a place's own number: point_ids may repeat or be null
+        places = self.targets.groupBy("leaf", "x", "y", "z").agg(F.count("*").alias("n")).withColumn("place", F.monotonically_increasing_id())
+        places = saved(places, "places")
+        self.places, self.copies = self.targets, None
+        if places.where("n > 1").limit(1).count():
+            self.places = places.select(F.col("place").alias("point_id"), "leaf", "x", "y", "z")
+            self.copies = saved(self.targets.join(places, ["leaf", "x", "y", "z"]).select("point_id", "place"), "copies")
         if self.near is not None:
             self.lists = saved(near.converted(self.lists, self.counts(), self.near), "lists")
         return self
@@ -131,8 +140,8 @@ class Engine:
         given = strengths.select("source_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in strengths.columns else F.lit(0.0).alias(c) for c in cols])
         if given.groupBy("source_id").count().where("count > 1").limit(1).count():
             raise ValueError("a source has two strengths")
-        s = self.sources.join(given, "source_id", "left")
-        return self._packed(s, "source_id", ["x", "y", "z", *[F.coalesce(c, F.lit(0.0)) for c in cols]])
+        s = self.sources.join(given, "source_id", "left").groupBy("leaf", "x", "y", "z").agg(F.min("source_id").alias("source_id"), *[F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in cols])
+        return self._packed(s, "source_id", ["x", "y", "z", *cols])
 
     def multipoles(self, packed: DataFrame) -> DataFrame:
         """key, c: the multipoles (vectors x size, flat) of all boxes with sources, from their packed points and strengths."""
@@ -205,7 +214,7 @@ class Engine:
         kernel, domain = self.kernel, self.domain
         width, m, size = 3 + len(kernel.parameters), kernel.vectors, kernel.size
         packed = saved(self._sources_with(strengths), "packed")
-        tpacked = saved(self._packed(self.targets, "point_id", [F.col(c) for c in "xyz"]), "targets")
+        tpacked = saved(self._packed(self.places, "point_id", [F.col(c) for c in "xyz"]), "targets")
         poles = saved(self.multipoles(packed), "multipoles")
         local = self.locals_(poles, packed)
         family = lambda c: F.coalesce(mk.parent(c), F.lit(0).cast("long"))
@@ -260,7 +269,10 @@ class Engine:
                         lo += len(y)
             yield from finish()
 
-        return rows.mapInArrow(run, ", ".join(["point_id long", *[f"{n} double" for n in kernel.outputs]]))
+        got = rows.mapInArrow(run, ", ".join(["point_id long", *[f"{n} double" for n in kernel.outputs]]))
+        if self.copies is None:
+            return got
+        return self.copies.join(got.withColumnRenamed("point_id", "place"), "place").select("point_id", *kernel.outputs)
 
     def _far(self, poles: DataFrame, packed: DataFrame, wanted: DataFrame) -> DataFrame:
         """key, c: what V and X lists give each wanted box itself (not its ancestors')."""
