@@ -7,16 +7,22 @@ other pairs are compared block by block: the products of the leading axes are
 summed first, the rest is bounded by the product of the suffix norms, and a pair
 is dropped as soon as it cannot reach the threshold. What is left is decided by
 the cosine of the vectors as given, in double precision.
+
+Each tile is one file in the shared work folder; the tasks get pairs of paths and read
+the tiles themselves, so what is written and shuffled grows with the rows, not with the pairs.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, small_batches, table
+from .common import components, materialise, new_path, small_batches, table
+from .sstable import _file_system
 
 TILE = 4096
 MAX_LEAVES, SAMPLE = 2048, 20_000
@@ -90,17 +96,37 @@ def linked(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float):
             yield lo + i[on], j[on]
 
 
-def _compare(axes: np.ndarray, threshold: float, dim: int):
-    """Rows of two packed tiles to rows (vec, other, links): partial counts, and a spanning forest of the links (other not null)."""
+def _write_tile(path: str, ids: np.ndarray, copies: np.ndarray, m: np.ndarray) -> None:
+    """A tile as a file: the number of rows, ids, copies, components."""
+    fs, p = _file_system(path)
+    fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(p) as out:
+        for part in (np.array([len(ids)], np.int64), ids, copies, m):
+            out.write(np.ascontiguousarray(part).tobytes())
+
+
+def _read_tile(path: str, kind: str, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    fs, p = _file_system(path)
+    with fs.open_input_stream(p) as f:
+        data = f.read()
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    ids, copies = np.frombuffer(data, np.int64, 2 * n, 8).reshape(2, n)
+    return ids, copies, np.frombuffer(data, kind, -1, 8 + 16 * n).reshape(n, dim).astype(np.float64)
+
+
+def _compare(axes: np.ndarray, threshold: float, dim: int, kind: str):
+    """Rows of two tiles' paths (a, b) to rows (vec, other, links): partial counts, and a spanning forest of the links (other not null)."""
 
     def run(batches):
+        at, left = None, None  # the last first tile is kept
         for b in batches:
-            for r in range(b.num_rows):
-                row = {n: b.column(n)[r].as_py() for n in b.schema.names}
-                same = row["ta"] == row["tb"]
-                ids = [np.frombuffer(row[f"i{c}"], np.int64) for c in "ab"]
-                copies = [np.frombuffer(row[f"c{c}"], np.int64) for c in "ab"]
-                x, y = (np.frombuffer(row[f"m{c}"], row["kind"]).reshape(-1, dim).astype(np.float64) for c in "ab")
+            for first, second in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                same = first == second
+                if first != at:
+                    at, left = first, _read_tile(first, kind, dim)
+                right = left if same else _read_tile(second, kind, dim)
+                ids, copies = (left[0], right[0]), (left[1], right[1])
+                x, y = left[2], right[2]
                 base = 0 if same else len(x)
                 root = np.arange(base + len(y))
                 links = np.zeros(len(root), np.int64)
@@ -183,20 +209,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     split = F.element_at(F.create_map(*[F.lit(x) for k, v in name.items() for x in (k, parts[v])]), F.col("leaf"))
     tiled = placed.select(F.concat_ws("-", number, F.pmod(F.xxhash64("rep", F.lit(3)), split)).alias("t"), "rep", "copies", "embedding")
 
+    base = new_path(spark, "tiles")
+
     def pack(key, t):
         m = _matrix(t.column("embedding"), dim).astype(np.float64 if kind == "double" else np.float32)
-        return pa.table({"t": [key[0].as_py()], "i": [t.column("rep").to_numpy().tobytes()], "c": [t.column("copies").to_numpy().tobytes()], "m": [m.tobytes()]})
+        path = f"{base}/{key[0].as_py()}-{uuid.uuid4().hex}"  # an attempt's own: the row that counts names it
+        _write_tile(path, t.column("rep").to_numpy(), t.column("copies").to_numpy(), m)
+        return pa.table({"t": [key[0].as_py()], "path": [path]})
 
-    tiles = materialise(tiled.groupBy("t").applyInArrow(pack, "t string, i binary, c binary, m binary"), "tiles")  # about TILE rows a group
+    tiles = materialise(tiled.groupBy("t").applyInArrow(pack, "t string, path string"), "paths")  # about TILE rows a group
     pairs = spark.createDataFrame([(i, j, parts[i], parts[j]) for i, j in near], "i int, j int, x int, y int")
     pairs = pairs.select("*", F.explode(F.sequence(F.lit(0), F.col("x") - 1)).alias("u")).select("*", F.explode(F.sequence(F.lit(0), F.col("y") - 1)).alias("v")).where("i < j OR u <= v").select(F.concat_ws("-", "i", "u").alias("ta"), F.concat_ws("-", "j", "v").alias("tb"))
-    side = lambda c: tiles.select(F.col("t").alias(f"t{c}"), F.col("i").alias(f"i{c}"), F.col("c").alias(f"c{c}"), F.col("m").alias(f"m{c}"))
-    both = pairs.join(side("a"), "ta").join(side("b"), "tb").withColumn("kind", F.lit("f8" if kind == "double" else "f4"))
-    both = both.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    side = lambda c: tiles.select(F.col("t").alias(f"t{c}"), F.col("path").alias(c))
+    both = pairs.join(side("a"), "ta").join(side("b"), "tb").select("a", "b")
+    both = both.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)).sortWithinPartitions("a", "b")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows of two tiles
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # pairs of tiles
     try:
-        found = materialise(both.mapInArrow(_compare(axes, threshold, dim), "vec long, other long, links long"), "found")
+        found = materialise(both.mapInArrow(_compare(axes, threshold, dim, "f8" if kind == "double" else "f4"), "vec long, other long, links long"), "found")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     counts = found.where("other IS NULL").groupBy("vec").agg(F.sum("links").alias("links"))

@@ -50,3 +50,27 @@ def test_real_table_and_empty(spark):
     assert {tuple(r) for r in e.op1_embedding_dedup(spark, "/root/testdata/sf0.001").collect()} == brute(rows, 0.9)
     assert e.near_duplicates(t.where("false")).count() == 0
     assert e.near_duplicates(t.selectExpr("vec_id", "cast(null as array<float>) as embedding", "1 as rep", "2 as comp")).where("kept").count() == len(rows)
+
+
+def test_tiles_are_written_once(spark, monkeypatch):
+    """The pairs of tiles are pairs of paths: the comparison's input holds no vectors, however many pairs a tile is in."""
+    import numpy as np
+    from manybody.llm import embedding_dedup as op
+
+    seen = []
+    kept = op.materialise
+
+    def watched(df, name):
+        if name == "found":
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            seen.append("embedding#" in plan or "binary" in plan or "ma#" in plan)
+        return kept(df, name)
+
+    monkeypatch.setattr(op, "materialise", watched)
+    monkeypatch.setattr(op, "TILE", 16)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(120, 6)).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(120)], "vec_id long, embedding array<float>")
+    got = {v.vec_id: v.n_links for v in op.near_duplicates(rows, 0.9).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert got == {i: int(n) for i, n in enumerate((u @ u.T >= 0.9).sum(axis=1) - 1)} and seen == [False]
