@@ -31,7 +31,7 @@ def _mirror(out: np.ndarray, p: int) -> np.ndarray:
 
 def regular(p: int, x: np.ndarray) -> np.ndarray:
     """R_n^m of points x (.., 3), all orders."""
-    out = np.zeros((*x.shape[:-1], (p + 1) ** 2), complex)
+    out = np.moveaxis(np.zeros(((p + 1) ** 2, *x.shape[:-1]), complex), 0, -1)  # an order's values are neighbours
     rho, z, r2 = x[..., 0] + 1j * x[..., 1], x[..., 2], (x * x).sum(axis=-1)
     out[..., 0] = 1
     for m in range(p + 1):
@@ -45,7 +45,7 @@ def regular(p: int, x: np.ndarray) -> np.ndarray:
 
 def irregular(p: int, x: np.ndarray) -> np.ndarray:
     """I_n^m of points x (.., 3) other than 0, all orders."""
-    out = np.zeros((*x.shape[:-1], (p + 1) ** 2), complex)
+    out = np.moveaxis(np.zeros(((p + 1) ** 2, *x.shape[:-1]), complex), 0, -1)  # an order's values are neighbours
     rho, z, r2 = x[..., 0] + 1j * x[..., 1], x[..., 2], (x * x).sum(axis=-1)
     out[..., 0] = 1 / np.sqrt(r2)
     for m in range(p + 1):

@@ -8,6 +8,7 @@ kernel's mathematics. Another potential is added by another class with these mem
     size        reals of an expansion
     expand      P2M and P2L: points and strengths to an expansion
     evaluate    L2P and M2P: an expansion at points
+    expansions, evaluations: the same for many boxes at once
     up, down    M2M and L2L matrices of the eight octants below a level
     far         M2L matrices of the far offsets on a level
     move        expansions by one of these matrices
@@ -73,6 +74,19 @@ class Kernel:
             c = c @ x.T
         return c
 
+    #: Whether matrices differ from level to level.
+    by_level = True
+
+    def expansions(self, kind: str, levels: np.ndarray, x: np.ndarray, s: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """expand of many boxes (boxes, vectors, size): box k has the points and strengths from begin[k] on, one at least."""
+        ends = [*begin[1:], len(x)]
+        return np.stack([self.expand(kind, int(v), x[lo:hi], s[lo:hi]) for v, lo, hi in zip(levels, begin, ends, strict=True)])
+
+    def evaluations(self, kind: str, levels: np.ndarray, x: np.ndarray, c: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """evaluate of many expansions c (boxes, vectors, size): box k at the points from begin[k] on."""
+        ends = [*begin[1:], len(x)]
+        return np.concatenate([self.evaluate(kind, int(v), x[lo:hi], e) for v, lo, hi, e in zip(levels, begin, ends, c, strict=True)])
+
 
 def _pairs(x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Differences by axis, and inverse distances (0 where points coincide), of all targets and sources."""
@@ -85,6 +99,20 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return d, inv
 
 
+#: Points whose harmonics a task holds at once.
+POINTS = 2048
+
+
+def _runs(begin: np.ndarray, n: int):
+    """Runs of boxes with about POINTS points together: first and last box, first and last point."""
+    ends = np.append(begin[1:], n)
+    lo = 0
+    while lo < len(begin):
+        hi = max(lo + 1, int(np.searchsorted(ends, begin[lo] + POINTS, "right")))
+        yield lo, hi, int(begin[lo]), int(ends[hi - 1])
+        lo = hi
+
+
 @lru_cache(6)
 def _laplace_far(strategy: str, p: int):
     if strategy == "dense":
@@ -141,6 +169,54 @@ class Laplace(Kernel):
         value, g = (h.irregular_gradient if kind == "M" else h.regular_gradient)(p, x)
         return np.stack([h.weights(value, p) @ c.T / r, *[h.weights(g[a], p) @ c.T / (r * r) for a in range(3)]], axis=-1)
 
+    by_level = False
+
+    def expansions(self, kind: str, levels: np.ndarray, x: np.ndarray, s: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        out = np.empty((len(begin), self.vectors, self.size))
+        harmonics = (h.regular if kind == "M" else h.irregular, h.regular_gradient if kind == "M" else h.irregular_gradient)
+        for lo, hi, a, z in _runs(begin, len(x)):
+            at = begin[lo:hi] - a
+            r = np.repeat(self.side / 2.0 ** (levels[lo:hi] + 1), np.diff(np.append(at, z - a)))[:, None]
+            q, d = self._split(s[a:z])
+            value, grad = (harmonics[0](self.p, x[a:z] / r), None) if d is None else harmonics[1](self.p, x[a:z] / r)
+            value = h.stored(np.conj(value), self.p)
+            grad = None if d is None else [h.stored(np.conj(g), self.p) for g in grad]
+            for v in range(self.vectors):
+                row = value * q[:, v : v + 1]
+                for k in range(3 if d is not None else 0):
+                    row += grad[k] * (d[:, v, k : k + 1] / r)
+                out[lo:hi, v] = np.add.reduceat(row, at, axis=0)
+        return out
+
+    def evaluations(self, kind: str, levels: np.ndarray, x: np.ndarray, c: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), self.vectors, len(self.outputs) // self.vectors))
+        for lo, hi, a, z in _runs(begin, len(x)):
+            row = np.repeat(np.arange(lo, hi), np.diff(np.append(begin[lo:hi], z)))
+            r = (self.side / 2.0 ** (levels[row] + 1))[:, None]
+            if self.gradients:
+                value, g = (h.irregular_gradient if kind == "M" else h.regular_gradient)(self.p, x[a:z] / r)
+                parts = [h.weights(value, self.p) / r, *[h.weights(g[k], self.p) / (r * r) for k in range(3)]]
+            else:
+                parts = [h.weights((h.irregular if kind == "M" else h.regular)(self.p, x[a:z] / r), self.p) / r]
+            for v in range(self.vectors):
+                own = c[row, v]
+                for k, part in enumerate(parts):
+                    out[a:z, v, k] = np.einsum("ij,ij->i", part, own)
+        return out
+
+    def move(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        if not isinstance(t, tuple):
+            return c @ t.T
+        return self._turned(self._turned(c, t[0]) @ t[1].T, t[2])
+
+    def _turned(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """c @ t.T for a turn, which keeps degrees apart."""
+        out = np.empty_like(c)
+        for n in range(self.p + 1):
+            k = slice(n * n, (n + 1) ** 2)
+            np.matmul(c[..., k], t[k, k].T, out=out[..., k])
+        return out
+
     def up(self, level: int) -> np.ndarray:
         return h.up_matrices(self.p)
 

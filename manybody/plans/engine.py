@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import morton as mk
 from ..functions.harmonics import far_offsets
-from ..operators.kernels import Helmholtz, Kernel, Laplace, Yukawa, degree_for
+from ..operators.kernels import POINTS, Helmholtz, Kernel, Laplace, Yukawa, degree_for
 from ..work import dealt, saved
 from . import near, tree
 
@@ -97,7 +97,8 @@ class Engine:
         self.boxes = saved(tree.balanced(tree.levels(keys, self.cap, self.max_level, self.min_level)), "boxes")
         levels = tree.leaf_levels(self.boxes)
         self.depth = levels[1]
-        self.lists = saved(tree.lists(self.boxes), "lists")
+        lists = tree.lists(self.boxes)  # V lists, most of the pairs, are not needed by evaluate: left to whoever asks for them
+        self.lists = saved(lists.where("kind <> 'V'"), "lists").unionByName(lists.where("kind = 'V'"))
         self.sources = saved(tree.leaf_of(s, self.boxes, levels=levels).drop("key16"), "sources")
         self.targets = saved(tree.leaf_of(t, self.boxes, levels=levels).drop("key16"), "targets")
         # a place's own number: point_ids may repeat or be null
@@ -145,22 +146,18 @@ class Engine:
 
     def multipoles(self, packed: DataFrame) -> DataFrame:
         """key, c: the multipoles (vectors x size, flat) of all boxes with sources, from their packed points and strengths."""
-        kernel, domain, width = self.kernel, self.domain, 3 + len(self.kernel.parameters)
+        kernel, domain = self.kernel, self.domain
         m, size = kernel.vectors, kernel.size
 
         def run(batches):
             for b in batches:
-                keys = b.column("leaf").to_numpy()
-                centre, made = _centres(keys, domain), {}
-                for k, key in enumerate(keys.tolist()):
-                    pts = b.column("values")[k].values.to_numpy().reshape(-1, width)
-                    made[key] = made.get(key, 0) + kernel.expand("M", key & mk.LEVEL_MASK, pts[:, :3] - centre[k], pts[:, 3:])
-                if not made:
+                if not b.num_rows:
                     continue
-                total = {}  # level: keys and their sums
+                keys = b.column("leaf").to_numpy()
+                made, total = _expanded(kernel, "M", domain, keys, b.column("values")), {}  # level: keys and their sums
                 for lev in range(mk.DEPTH, -1, -1):
-                    own = [key for key in made if key & mk.LEVEL_MASK == lev]
-                    at, c = np.array(own, np.int64), np.array([made[key] for key in own]).reshape(-1, m, size)
+                    own = keys & mk.LEVEL_MASK == lev
+                    at, c = keys[own], made[own]
                     if lev + 1 in total:
                         low, lc = total[lev + 1]
                         up, octant = _parents(low)
@@ -177,7 +174,9 @@ class Engine:
                 for keys_, sums in total.values():
                     yield _rows(keys_, sums.reshape(len(keys_), -1))
 
-        return _merged(packed.select("leaf", "values").mapInArrow(run, "key long, c array<double>"), m * size)
+        # near leaves share parents, so a task has few boxes besides its leaves; as many tasks as shuffles have, for the bytes are few
+        rows = packed.select("leaf", "values").repartitionByRange(_tasks(packed), "leaf")
+        return _merged(rows.mapInArrow(run, "key long, c array<double>"), m * size)
 
     def locals_(self, poles: DataFrame, packed: DataFrame) -> DataFrame:
         """key, c: the locals of all boxes of level 2 and below, their ancestors' included, that are above targets."""
@@ -233,11 +232,30 @@ class Engine:
         rows = dealt(own.select(columns).unionByName(more.select(columns)), "to", "chunk").sortWithinPartitions("to", "chunk", "kind", "key", F.size("c"))
 
         def run(batches):
-            block, at = [], None  # the block's targets: leaf, ids, x, sums
+            blocks, at = [], None  # blocks of targets, the last one open: leaf, ids, x, sums
+            held, points = {"L": [], "M": []}, 0  # expansions to be evaluated, with the targets; many at once
 
-            def finish():
-                for _, ids, _, out in block:
-                    yield pa.record_batch([pa.array(ids, pa.int64()), *map(pa.array, kernel.result(out))], names=["point_id", *kernel.outputs])
+            def settle():
+                for kind, some in held.items():
+                    if not some:
+                        continue
+                    keys, n = np.array([e[0] for e in some]), np.array([len(e[1]) for e in some])
+                    x = np.concatenate([e[1] for e in some]) - np.repeat(_centres(keys, domain), n, axis=0)
+                    got = kernel.evaluations(kind, keys & mk.LEVEL_MASK, x, np.stack([e[2] for e in some]), np.cumsum(n) - n)
+                    for (_, _, _, chosen), part in zip(some, np.split(got, np.cumsum(n)[:-1]), strict=True):
+                        add(chosen, part)
+                    some.clear()
+
+            def add(chosen, got):
+                lo = 0
+                for t in chosen:
+                    t[3] = t[3] + got[lo : lo + len(t[2])]
+                    lo += len(t[2])
+
+            def finished(some):
+                for block in some:
+                    for _, ids, _, out in block:
+                        yield pa.record_batch([pa.array(ids, pa.int64()), *map(pa.array, kernel.result(out))], names=["point_id", *kernel.outputs])
 
             for b in batches:
                 cols = [b.column(n) for n in columns]
@@ -246,28 +264,34 @@ class Engine:
                 for i, (to, chunk, kind, key) in enumerate(zip(*(c.to_pylist() for c in cols[:4]), strict=True)):
                     c = flat[ends["c"][i] : ends["c"][i + 1]]
                     if at != (to, chunk):
-                        yield from finish()
-                        block, at = [], (to, chunk)
+                        if points >= POINTS:
+                            settle()
+                            yield from finished(blocks)
+                            blocks, points = [], 0
+                        blocks.append([])
+                        at = (to, chunk)
+                    block = blocks[-1]
                     if kind == "A":
                         x = c.reshape(-1, 3)
-                        block.append((key, cols[6][i].values.to_numpy(), x, 0))
+                        block.append([key, cols[6][i].values.to_numpy(), x, 0])
+                        points += len(x)
                         continue
                     on = set(leaves[ends["on"][i] : ends["on"][i + 1]].tolist())
-                    chosen = [k for k, t in enumerate(block) if t[0] in on]
+                    chosen = [t for t in block if t[0] in on]
                     if not chosen:
                         continue
-                    x = np.concatenate([block[k][2] for k in chosen])
+                    x = np.concatenate([t[2] for t in chosen])
                     if kind == "P":
                         pts = c.reshape(-1, width)
-                        got = kernel.near(x, pts[:, :3], pts[:, 3:])
-                    else:
-                        got = kernel.evaluate(kind, key & mk.LEVEL_MASK, x - _centres(np.array([key]), domain)[0], c.reshape(m, size))
-                    lo = 0
-                    for k in chosen:
-                        leaf, ids, y, out = block[k]
-                        block[k] = leaf, ids, y, out + got[lo : lo + len(y)]
-                        lo += len(y)
-            yield from finish()
+                        add(chosen, kernel.near(x, pts[:, :3], pts[:, 3:]))
+                        continue
+                    held[kind].append((key, x, c.reshape(m, size), chosen))
+                    points += len(x)
+                    if points >= 4 * POINTS:  # a block of many expansions
+                        settle()
+                        points = 0 if len(blocks) == 1 else POINTS
+            settle()
+            yield from finished(blocks)
 
         got = rows.mapInArrow(run, ", ".join(["point_id long", *[f"{n} double" for n in kernel.outputs]]))
         if self.copies is None:
@@ -277,7 +301,7 @@ class Engine:
     def _far(self, poles: DataFrame, packed: DataFrame, wanted: DataFrame) -> DataFrame:
         """key, c: what V and X lists give each wanted box itself (not its ancestors')."""
         kernel, domain = self.kernel, self.domain
-        m, size, width = kernel.vectors, kernel.size, 3 + len(kernel.parameters)
+        m, size = kernel.vectors, kernel.size
         deep = poles.where(mk.level("key") >= 2).select(mk.parent("key").alias("family"), "key", "c")
         family = deep.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("key", "c"))).alias("kids"))  # at most 8
         sent = family.select(F.explode(mk.neighbours("family")).alias("to"), F.col("family").alias("of"), "kids")
@@ -303,9 +327,9 @@ class Engine:
                 t, s, apart = t[on], s[on], apart[on]
                 keys, into = np.unique(targets, return_inverse=True)
                 total = np.zeros((len(keys), m, size))
-                order = np.lexsort((apart, lev[t]))
+                order = np.lexsort((apart, lev[t])) if kernel.by_level else np.argsort(apart, kind="stable")
                 t, s, apart = t[order], s[order], apart[order]
-                group = lev[t] * 316 + apart
+                group = lev[t] * 316 + apart if kernel.by_level else apart
                 cuts = np.flatnonzero(np.diff(group, prepend=-1))
                 for lo, hi in zip(cuts, np.append(cuts[1:], len(group)), strict=True):  # a target has one source at an offset
                     total[into[t[lo:hi]]] += kernel.move(c[s[lo:hi]], kernel.far(int(lev[t[lo]]))[apart[lo]])
@@ -316,14 +340,14 @@ class Engine:
 
         def close(batches):
             for b in batches:
-                keys = b.column("target").to_numpy()
-                centre, out = _centres(keys, domain), []
-                for k, key in enumerate(keys.tolist()):
-                    pts = b.column("values")[k].values.to_numpy().reshape(-1, width)
-                    out.append(kernel.expand("L", key & mk.LEVEL_MASK, pts[:, :3] - centre[k], pts[:, 3:]).ravel())
-                yield _rows(keys, out)
+                for lo in range(0, b.num_rows, 4096):
+                    part = b.slice(lo, 4096)
+                    keys = part.column("target").to_numpy()
+                    begin = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+                    yield _rows(keys[begin], np.add.reduceat(_expanded(kernel, "L", domain, keys, part.column("values")), begin, axis=0).reshape(len(begin), -1))
 
-        return _merged(v.unionByName(x.select("target", "values").mapInArrow(close, "key long, c array<double>")), m * size)
+        x = dealt(x.select("target", "values"), "target").sortWithinPartitions("target", "values")
+        return _merged(v.unionByName(x.mapInArrow(close, "key long, c array<double>")), m * size)
 
 
 def LaplaceEngine(p: int | None = None, tolerance: float = 1e-3, gradients: bool = False, vectors: int = 1, dipole: bool = False, strategy: str = "auto", **tree_settings) -> Engine:
@@ -341,6 +365,18 @@ def YukawaEngine(kappa: float, p: int | None = None, tolerance: float = 1e-3, gr
     return Engine(Yukawa(kappa, p, tolerance, vectors, gradients, strategy), **tree_settings)
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _expanded(kernel: Kernel, kind: str, domain, keys: np.ndarray, values: pa.Array) -> np.ndarray:
+    """Expansions (rows, vectors, size) about the boxes keys of the points and strengths of each row (one point at least)."""
+    width = 3 + len(kernel.parameters)
+    n = np.diff(values.offsets.to_numpy()) // width
+    pts = _flat(values).reshape(-1, width)
+    return kernel.expansions(kind, keys & mk.LEVEL_MASK, pts[:, :3] - np.repeat(_centres(keys, domain), n, axis=0), pts[:, 3:], np.cumsum(n) - n)
+
+
 def _merged(parts: DataFrame, size: int) -> DataFrame:
     """Sums of the arrays of a key: parts in the order of their values, so the result doesn't depend on arrival."""
     rows = dealt(parts, "key").sortWithinPartitions("key", "c")

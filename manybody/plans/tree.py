@@ -90,12 +90,13 @@ def balanced(boxes: DataFrame) -> DataFrame:
     if deepest is None:
         return _nodes(split.select("key"))
     out, need = None, None
+    ring, up = F.explode(mk.neighbours("key")).alias("key"), mk.parent("key").alias("key")  # large expressions: made once, not on every level
     for lev in range(deepest, -1, -1):
         level = split.where(F.col("level") == lev).select("key")
         level = level if need is None else saved(level.unionByName(need).distinct(), "split")
         out = level if out is None else out.unionByName(level)
         if lev:
-            need = level.select(F.explode(mk.neighbours("key")).alias("key")).select(mk.parent("key").alias("key")).distinct()
+            need = level.select(ring).select(up).distinct()
     return _nodes(out)
 
 
