@@ -12,6 +12,7 @@ left out of these frequencies and sets the bound.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from functools import lru_cache
 
@@ -106,7 +107,53 @@ def _frequencies(batches):
         yield pa.record_batch([b.column("lang"), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["lang", "i", "v"])
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 100.0, rounds: int = 150) -> tuple[np.ndarray, float]:
+class Rows:
+    """A matrix of few numbers other than 0, as `svm` needs it; numbers are held by rows and by columns.
+
+    The driver learns from thousands of rows of 2^BITS features, of which a text has a tenth at most.
+    """
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int], other: "Rows | None" = None):
+        """row is ascending, and col within a row."""
+        self.row, self.col, self.value, self.shape = row.astype(np.int32, copy=False), col.astype(np.int32, copy=False), value.astype(np.float32, copy=False), shape
+        self.begin = np.flatnonzero(np.diff(self.row, prepend=-1))
+        self.own = self.row[self.begin]
+        if other is None:
+            order = np.argsort(self.col, kind="stable")
+            other = Rows(self.col[order], self.row[order], self.value[order], shape[::-1], self)
+        self.T = other
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        out = np.zeros(self.shape, dtype or np.float32)
+        out[self.row, self.col] = self.value
+        return out
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[0], v.dtype)
+        if len(self.begin):
+            out[self.own] = np.add.reduceat(self.value * v[self.col], self.begin)
+        return out
+
+    def take(self, rows: np.ndarray) -> "Rows":
+        """Some rows, in ascending order."""
+        place = np.full(self.shape[0], -1, np.int32)
+        place[np.sort(rows)] = np.arange(len(rows))
+        on = place[self.row] >= 0
+        return Rows(place[self.row[on]], self.col[on], self.value[on], (len(rows), self.shape[1]))
+
+    def scaled(self, by: np.ndarray) -> "Rows":
+        """Columns multiplied by numbers."""
+        return Rows(self.row, self.col, self.value * by[self.col], self.shape)
+
+    def mean(self) -> np.ndarray:
+        """Of each column."""
+        return np.bincount(self.col, self.value, minlength=self.shape[1]) / max(1, self.shape[0])
+
+
+def svm(x: "np.ndarray | Rows", y: np.ndarray, c: float = 100.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by accelerated gradient steps; y is +1 or -1, classes weigh alike."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     v = np.ones(x.shape[1], np.float32) / np.sqrt(x.shape[1])
@@ -189,20 +236,32 @@ class LanguageModel:
 SPREADS, LEAST_SPREAD, LEAST_HELD, SHORT_MAY = 4, 0.25, 8, 8.0
 
 
-def likeness(x: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray | None, float]:
-    """Log frequencies (relative to even ones) of features in rows x of texts' frequencies, and the bound of their mean."""
-    once = np.array(sorted({(k, r.tobytes()): i for i, (k, r) in enumerate(zip(lang.tolist(), x, strict=True))}.values()))
+def likeness(x: "Rows", lang: np.ndarray, once: np.ndarray) -> tuple[np.ndarray | None, float]:
+    """Log frequencies (relative to even ones) of features in rows x of texts' frequencies, and the bound of their mean; once: rows without repeats."""
     held = np.concatenate([once[lang[once] == k][3::4] for k in np.unique(lang)])
     if len(held) < LEAST_HELD:
         return None, 0.0
     used = np.setdiff1d(once, held)
-    best = np.max([x[used[lang[used] == k]].mean(axis=0, dtype=np.float64) for k in np.unique(lang[used])], axis=0)
+    best = np.max([x.take(used[lang[used] == k]).mean() for k in np.unique(lang[used])], axis=0)
     like = np.log(np.maximum(best * len(best), 1e-3))
-    at = x[held] @ like
+    at = x.take(held) @ like
     middle, low = np.quantile(at, [0.5, 0.01])
     return like, float(middle - SPREADS * max(middle - low, LEAST_SPREAD))
 
 
+def _matrix(got: pa.Table) -> tuple[Rows, np.ndarray, np.ndarray]:
+    """Rows of texts' frequencies in an order that doesn't depend on arrival, their languages, and the rows that repeat none of their language."""
+    lang, i, v = got.column("lang").to_pylist(), got.column("i").combine_chunks(), got.column("v").combine_chunks()
+    at, n = i.offsets.to_numpy(), np.diff(i.offsets.to_numpy())
+    index, value = i.values.to_numpy(), v.values.to_numpy()
+    digest = [hashlib.blake2b(index[lo : lo + k].tobytes() + value[lo : lo + k].tobytes(), digest_size=16).digest() for lo, k in zip(at.tolist(), n.tolist())]
+    order = sorted(range(len(lang)), key=lambda r: (lang[r], digest[r]))
+    once = np.array([k for k, r in enumerate(order) if k == 0 or (lang[r], digest[r]) != (lang[order[k - 1]], digest[order[k - 1]])])
+    n = n[order]
+    take = np.repeat(at[:-1][order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return Rows(np.repeat(np.arange(len(n)), n), index[take], value[take], (len(n), 1 << BITS)), np.array(lang)[order], once
+
+
 def fit(rows: DataFrame, per_language: int = 600) -> LanguageModel:
     """Learns from rows(text, lang): a sample of about per_language whole, different texts of each language.
 
@@ -216,15 +275,11 @@ def fit(rows: DataFrame, per_language: int = 600) -> LanguageModel:
         return LanguageModel([], {}, [], np.zeros((1 << BITS, 0)), np.zeros(0))
     chosen = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * float(1 << 20)).select("text", "lang").distinct()
     got = chosen.mapInArrow(_frequencies, "lang string, i array<int>, v array<float>").toArrow()
-    lang = np.array(got.column("lang").to_pylist())
-    x = np.zeros((len(lang), 1 << BITS), np.float32)
-    for r, (i, v) in enumerate(zip(got.column("i"), got.column("v"), strict=True)):
-        x[r, np.asarray(i.values)] = np.asarray(v.values)
-    order = np.lexsort((x @ np.arange(x.shape[1], dtype=np.float32), lang))
-    x, lang = x[order], lang[order]
-    like, least = likeness(x, lang)
-    scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
-    x *= scale
+    x, lang, once = _matrix(got)
+    del got
+    like, least = likeness(x, lang, once)
+    scale = (1 / np.sqrt(x.mean() + 1e-6)).astype(np.float32)
+    x = x.scaled(scale)
     langs = sorted(set(lang))
     family = np.array([_FAMILY.get(k, k) for k in lang])
     families = sorted(set(family))
@@ -233,7 +288,7 @@ def fit(rows: DataFrame, per_language: int = 600) -> LanguageModel:
     pairs = [p for f in families for p in itertools.combinations(members[f], 2)]
     for a, b in pairs:
         at = np.flatnonzero((lang == a) | (lang == b))
-        fits.append(svm(x[at], np.where(lang[at] == a, 1, -1).astype(np.float32)))
+        fits.append(svm(x.take(at), np.where(lang[at] == a, 1, -1).astype(np.float32)))
     weights = np.stack([w * scale for w, _ in fits], axis=1).astype(np.float64) if fits else np.zeros((1 << BITS, 0))
     return LanguageModel(families, members, pairs, weights, np.array([b for _, b in fits]), like, least)
 

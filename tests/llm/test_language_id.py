@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from manybody.llm import language_id as li
 from pyspark.sql import functions as F
 
@@ -71,3 +73,30 @@ def test_stage_columns_of_the_model_and_long_texts(spark):
         assert (count() == whole).all()
     finally:
         li.PIECE = was
+
+
+def test_learning_holds_no_dense_matrix():
+    """The driver's matrix of a full sample takes a small part of a dense one, and its products are the same."""
+    rng = np.random.default_rng(2)
+    width, texts = 1 << li.BITS, 600
+    index = [np.sort(rng.choice(width, 700, replace=False)).astype(np.int32) for _ in range(texts)]
+    value = [rng.random(700).astype(np.float32) for _ in range(texts)]
+    index[5], value[5] = index[4], value[4]
+    got = pa.table({"lang": ["ab"[k % 2 if k != 5 else 0] for k in range(texts)], "i": pa.array(index, pa.list_(pa.int32())), "v": pa.array(value, pa.list_(pa.float32()))})
+    tracemalloc.start()
+    x, lang, once = li._matrix(got)
+    fitted = li.svm(x.scaled(np.ones(width, np.float32)), np.where(lang == "a", 1, -1).astype(np.float32), rounds=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < texts * width * 4 * 1.5
+    dense = np.asarray(x)
+    assert len(x) == texts and len(once) == texts - 1 and lang.tolist() == sorted(lang.tolist())
+    v, s = rng.random(width).astype(np.float32), rng.random(texts).astype(np.float32)
+    np.testing.assert_allclose(x @ v, dense @ v, rtol=1e-4)
+    np.testing.assert_allclose(x.T @ s, dense.T @ s, rtol=1e-4, atol=1e-6)
+    np.testing.assert_allclose(x.mean(), dense.mean(axis=0, dtype=np.float64), rtol=1e-6)
+    np.testing.assert_allclose(np.asarray(x.take(np.array([7, 3]))), dense[[3, 7]])
+    want = li.svm(dense, np.where(lang == "a", 1, -1).astype(np.float32), rounds=3)
+    np.testing.assert_allclose(fitted[0], want[0], rtol=1e-2, atol=1e-4)
+    back = li._matrix(got.take(list(range(texts))[::-1]))
+    assert (np.asarray(back[0]) == dense).all()
